@@ -12,6 +12,29 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.packing import packed
+
+    return packed(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=0, max_tokens=2048)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(_docs(spark, sf_dir), shingle=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.streamvbyte import round_trip
+
+    return round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1)
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.substring import remove_repeats
 
