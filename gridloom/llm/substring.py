@@ -37,7 +37,7 @@ from gridloom.llm.words import window_hashes, word_hashes, words
 #: Perfect difference covers: every difference modulo the period is one of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 #: Anchors that a task gathers before it sends them.
-FLUSH = 1_500_000
+FLUSH = 600_000
 _BLOBS = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("blob", pa.binary())])
 
 
@@ -120,9 +120,9 @@ def _anchors(width: int, period: int, n_buckets: int, n_groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, base, n = [[] for _ in range(5)], 0, 0
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             values = batch.column(1).to_pylist()
-            h, starts = word_hashes([words(t) for t in values])
+            h, starts = word_hashes(values)
             size = np.diff(starts)
             doc = np.repeat(np.arange(len(values)), size)
             pos = np.arange(len(h)) - starts[doc]
@@ -185,7 +185,7 @@ def _windows(width: int, span: int, n_buckets: int):
             near = near[np.lexsort((th[near], ids[near]))]  # from here on documents are in their order
             place = np.zeros(len(values), np.int64)
             place[near] = np.arange(len(near))
-            h, starts = word_hashes([words(values[r]) for r in near])
+            h, starts = word_hashes([values[r] for r in near])
             size = np.diff(starts)
             d = place[row]
             low, high = np.maximum(pos - (width - span), 0), np.minimum(pos, size[d] - width) + 1

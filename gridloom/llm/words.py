@@ -16,12 +16,16 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def word_hashes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of each word, all documents in a row, and the place where each document starts (one more at the end)."""
-    starts = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=starts[1:])
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each word, all documents in a row, and the place where each document starts (one more at the end).
+
+    Only one document's words are held at a time.
+    """
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for x in lists for w in x), np.uint64, int(starts[-1])), starts
+    each = [np.fromiter(map(digest, w), np.uint64, len(w)) for w in map(words, texts)]
+    starts = np.zeros(len(each) + 1, np.int64)
+    np.cumsum([len(x) for x in each], out=starts[1:])
+    return np.concatenate([np.zeros(0, np.uint64), *each]), starts
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
