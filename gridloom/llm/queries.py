@@ -12,6 +12,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.outliers import judge
+
+    return judge(_docs(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
