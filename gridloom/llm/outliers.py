@@ -154,10 +154,10 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame
     return fit
 
 
-def judge(docs: DataFrame, window: int = 8, share: float = 0.75, steps: int = 3, least: int = 50, cutoff: float = 36.0) -> DataFrame:
+def judge(docs: DataFrame, window: int = 8, share: float = 0.75, steps: int = 3, least: int = 50, cutoff: float = 50.0) -> DataFrame:
     """doc_id, the statistics, base_failed, distance (null where the base fails) and kept.
 
-    ``cutoff`` is compared with the squared distance; 36 is about the 1 - 1e-6 quantile of chi-square with five
+    ``cutoff`` is compared with the squared distance; 50 is about the 1 - 1e-9 quantile of chi-square with five
     degrees of freedom.
     """
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))

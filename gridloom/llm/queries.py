@@ -12,6 +12,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import urls
+
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    return urls.judge(pages, urls.page_labels(pages, labels), urls.RULES)
+
+
 def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.outliers import judge
 
@@ -53,4 +60,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from gridloom.llm import urls
+
+    return {"op1_urls": urls.sql()}
