@@ -48,6 +48,12 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.fingerprints import compare_neighbours
+
+    return compare_neighbours(_docs(spark, sf_dir))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.substring import remove_repeats
 
