@@ -54,6 +54,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(_docs(spark, sf_dir))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import language
+
+    docs = _docs(spark, sf_dir)
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.substring import remove_repeats
 

@@ -9,15 +9,12 @@ its pieces. Pieces repeat far more often than documents do, so most of the work
 from __future__ import annotations
 
 import re
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-#: White space that does more than separate two words; texts that have it are cut at fewer places.
-_ODD = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_SPACE = re.compile(r"\s")
 
 
 class WordEncoder:
@@ -28,41 +25,60 @@ class WordEncoder:
     ones, are forgotten and learnt anew when they return.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 600_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 1_200_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lead, self.limit, self.memo = " " if spaced else "", limit, {}
         self.bar = "\n" if spaced else "\x01"  # between pieces that are encoded together
         (self.bar_id,) = self.tok.encode(self.bar, add_special_tokens=False).ids
+        # the same model for pieces that are letters only, and so one pre-token: no pattern has to find its borders
+        self.word = Tokenizer.from_file(path)
+        self.word.encode_special_tokens = True
+        self.word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n" if spaced else " "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if not spaced:
+            self.word.normalizer = normalizers.Lowercase()
+        (self.word_bar,) = self.word.encode("\x01", add_special_tokens=False).ids
 
     def _pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if _ODD.search(text):
+        words = text.split()
+        gaps = text.count(" ") + text.count("\n")
+        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):  # some white space does more than separate two words
             return _CUT.split(text)
         # a line break stays with the word after it where white space is kept
-        return text.replace("\n", " \n" if self.lead else " ").split(" ")
+        return text.replace("\n", " \n").split(" ") if self.lead else words
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes many pieces as one text, cut again at a bar that no other piece can give."""
-        alone, joint = [], []
+        plain, joint, alone = [], [], []
         for p in pieces:
-            own = p[1:] if self.lead and p[0] == "\n" else p
-            (alone if not own or _SPACE.search(own) or self.bar in own else joint).append(p)
+            if p.isalpha() and (self.lead or p.isascii()):
+                plain.append(p)
+            else:
+                own = p[1:] if self.lead and p[:1] == "\n" else p
+                (alone if len(own.split()) != 1 or own[0].isspace() or own[-1].isspace() or self.bar in own else joint).append(p)
         for piece, enc in zip(alone, self.tok.encode_batch_fast([p if p[:1] == "\n" and self.lead else self.lead + p for p in alone], add_special_tokens=False)):
             self.memo[piece] = np.array(enc.ids, "<u4").tobytes()
-        if self.lead:  # "\n" opens every piece; it belongs to those that begin with it
-            texts = ["".join(p if p[0] == "\n" else "\n " + p for p in joint[at : at + 512]) for at in range(0, len(joint), 512)]
-        else:
-            texts = [" ".join("\x01 " + p for p in joint[at : at + 512]) for at in range(0, len(joint), 512)]
-        todo = iter(joint)
-        for at in range(0, len(texts), 32):
-            for enc in self.tok.encode_batch_fast(texts[at : at + 32], add_special_tokens=False):
+        self._joint(self.word, "\n\x01\n " if self.lead else " \x01 ", self.word_bar, plain)
+        if not self.lead:
+            self._joint(self.tok, " \x01 ", self.bar_id, joint)
+        else:  # "\n" opens every piece; it belongs to those that begin with it
+            self._joint(self.tok, "\n ", self.bar_id, [p for p in joint if p[0] != "\n"])
+            self._joint(self.tok, "", self.bar_id, [p for p in joint if p[0] == "\n"], own=True)
+
+    def _joint(self, tok: Tokenizer, bar: str, bar_id: int, pieces: list[str], own: bool = False) -> None:
+        memo, at = self.memo, 0
+        texts = ["".join([bar + p for p in pieces[i : i + 512]]) for i in range(0, len(pieces), 512)]
+        for i in range(0, len(texts), 32):
+            for enc in tok.encode_batch_fast(texts[i : i + 32], add_special_tokens=False):
                 ids = np.array(enc.ids, "<u4")
-                bars = np.flatnonzero(ids == self.bar_id)
-                raw = ids.tobytes()
-                for piece, i, j in zip(islice(todo, len(bars)), (4 * bars).tolist(), [*(4 * bars[1:]).tolist(), len(raw)]):
-                    self.memo[piece] = raw[i + 4 * (piece[0] != "\n") : j]
+                raw, bars = ids.tobytes(), np.flatnonzero(ids == bar_id)
+                starts, ends = (4 * bars + 4 * (not own)).tolist(), [*(4 * bars[1:]).tolist(), len(raw)]
+                for piece, a, b in zip(pieces[at : at + len(starts)], starts, ends):
+                    memo[piece] = raw[a:b]
+                at += len(starts)
+        assert at == len(pieces)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null is empty."""
@@ -73,16 +89,22 @@ class WordEncoder:
             cut = [c[1:] for c in cut]
         out, memo = [], self.memo
         for at in range(0, len(cut), 64):
-            new = set().union(*cut[at : at + 64]).difference(memo)
-            new.discard("")
-            if len(memo) + len(new) > self.limit:
-                old = dict(islice(memo.items(), self.limit // 2))
-                memo.clear()
-                memo.update(old)
-                new = set().union(*cut[at : at + 64]).difference(memo)
-            memo[""] = b""
-            self._learn(list(new - {""}))
-            out += [head + b"".join(map(memo.__getitem__, pieces)) for head, pieces in zip(heads[at : at + 64], cut[at : at + 64])]
+            flat = list(chain.from_iterable(cut[at : at + 64]))
+            found = list(map(memo.get, flat))
+            lacking = [i for i, v in enumerate(found) if v is None]
+            if lacking:
+                new = {flat[i] for i in lacking}
+                if len(memo) + len(new) > self.limit:
+                    old = dict(islice(memo.items(), self.limit // 2))
+                    memo.clear()
+                    memo.update(old)
+                self._learn(list(new))
+                for i in lacking:
+                    found[i] = memo[flat[i]]
+            place = 0
+            for head, pieces in zip(heads[at : at + 64], cut[at : at + 64]):
+                out.append(head + b"".join(found[place : place + len(pieces)]))
+                place += len(pieces)
         return out
 
 
