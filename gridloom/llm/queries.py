@@ -25,6 +25,15 @@ def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_docs(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import mixing
+
+    docs = _docs(spark, sf_dir)
+    rows = docs.select("doc_id", "text", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens"))
+    mixed = mixing.mix(rows, mixing.natural(rows, ["source", "lang", "topic"], temperature=1.5), budget_share=0.5)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +42,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=0, max_tokens=2048)
 
 
+def op5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import transcripts as t
+
+    raw = t.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return t.render(t.parse(raw)).select("conv_id", "block", "n_turns", "n_lines", "roles", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.simhash import near_duplicates
 
