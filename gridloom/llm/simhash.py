@@ -27,40 +27,64 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import stored
 from gridloom.llm.components import components
+from gridloom.llm.words import mixed
 
 BITS = 64
-#: Rows of one comparison tile in numpy.
-TILE = 1024
+#: Rows of one comparison tile in numpy; lanes of a wide fingerprint.
+TILE, WIDE = 1024, 4
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The fingerprint of UTF-8 text; bytes.lower() changes A-Z only."""
+def _grams(text: bytes | None, shingle: int) -> list[bytes]:
     w = text.lower().split() if text else []
     if not w:
-        return 0
-    digest = xxhash.xxh64_intdigest
+        return []
     if len(w) <= shingle:
-        grams = [b" ".join(w)]
-    elif shingle == 3:
-        grams = [b"%b %b %b" % t for t in zip(w, w[1:], w[2:])]
-    else:
-        grams = [b" ".join(t) for t in zip(*(w[i:] for i in range(shingle)))]
+        return [b" ".join(w)]
+    if shingle == 1:
+        return w
+    if shingle == 3:
+        return [b"%b %b %b" % t for t in zip(w, w[1:], w[2:])]
+    return [b" ".join(t) for t in zip(*(w[i:] for i in range(shingle)))]
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """The bits that more than half of the rows of h (n, lanes) set, as lanes."""
+    ones = np.zeros(BITS * h.shape[1], np.int64)
+    for at in range(0, len(h), 16384):
+        part = np.ascontiguousarray(h[at : at + 16384], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The fingerprint of UTF-8 text; bytes.lower() changes A-Z only."""
+    grams = _grams(text, shingle)
+    digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(g, 42) for g in grams), "<u8", len(grams))
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 65536):
-        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return int(_majority(h[:, None])[0]) if grams else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row, fp the fingerprint's bits as a long."""
+def wide(text: bytes | None, shingle: int) -> bytes:
+    """A fingerprint of WIDE lanes, each from another mixing of the shingles' hashes."""
+    grams = _grams(text, shingle)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams))
+    return (_majority(np.stack([mixed(h + np.uint64(k)) for k in range(1, WIDE + 1)], 1)) if grams else np.zeros(WIDE, "<u8")).tobytes()
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, check: int = 0) -> DataFrame:
+    """(doc_id, fp, wide) of every row: fp the fingerprint's bits as a long, wide that of `check` word shingles, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                texts = b.column(1).to_pylist()
+                fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+                more = pa.array([wide(t, check) if check else None for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), more], ["doc_id", "fp", "wide"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, wide binary")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -70,69 +94,84 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, by tiled exclusive-or."""
+def forest(nodes: np.ndarray, fps: np.ndarray, wides: np.ndarray | None, radius: int, far: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct nodes, by tiled exclusive-or of their fingerprints."""
     ones = np.bitwise_count(fps)
     order = np.argsort(ones, kind="stable")
     x, ones = fps[order], ones[order].astype(np.int64)
-    parent, links = list(range(len(x))), []
+    parent, out = list(range(len(x))), []
     for a in range(0, len(x), TILE):
         one = x[a : a + TILE]
         for b in range(a, len(x), TILE):
             if ones[b] - ones[min(a + TILE, len(x)) - 1] > radius:
                 break  # so are all later tiles
-            two = x[b : b + TILE]
-            for i, j in zip(*np.nonzero(np.bitwise_count(one[:, None] ^ two[None, :]) <= radius)):
-                p, q = _find(parent, a + int(i)), _find(parent, b + int(j))
+            i, j = np.nonzero(np.bitwise_count(one[:, None] ^ x[b : b + TILE][None, :]) <= radius)
+            i, j = i + a, j + b
+            i, j = i[i < j], j[i < j]
+            if wides is not None and len(i):
+                close = np.concatenate([np.bitwise_count(wides[order[i[k : k + 65536]]] ^ wides[order[j[k : k + 65536]]]).sum(1, dtype=np.int64) <= far for k in range(0, len(i), 65536)])
+                i, j = i[close], j[close]
+            for u, v in zip(i.tolist(), j.tolist()):
+                p, q = _find(parent, u), _find(parent, v)
                 if p != q:
                     parent[p] = q
-                    links.append((a + int(i), b + int(j)))
-    x = x.view(np.int64).tolist()
-    return [(x[i], x[j]) for i, j in links]
+                    out.append((u, v))
+    x = nodes[order].tolist()
+    return [(x[i], x[j]) for i, j in out]
+
 
+def _wides(column: pa.ChunkedArray | pa.Array) -> np.ndarray | None:
+    rows = column.to_pylist()
+    return None if not rows or rows[0] is None else np.frombuffer(b"".join(rows), "<u8").reshape(len(rows), -1)
 
-def links(fps: DataFrame, radius: int = 2, tile_rows: int = 8192) -> DataFrame:
-    """Links (u, v) whose transitive closure is that of all pairs of the distinct fps within the radius."""
+
+def links(nodes: DataFrame, radius: int = 2, far: int = 0, tile_rows: int = 8192) -> DataFrame:
+    """Links (u, v) whose transitive closure is that of all pairs of distinct nodes (node, fp, wide) within the radii."""
     bands = radius + 2
     edges = [BITS * i // bands for i in range(bands + 1)]
     band = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
     keys = [F.xxhash64(F.lit(k), band[i], band[j]) for k, (i, j) in enumerate(combinations(range(bands), 2))]
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    keyed = keyed.join(sizes.where("n > 1"), "key")
+    sizes = nodes.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    keyed = nodes.select("node", "fp", "wide", F.explode(F.array(*keys)).alias("key")).join(sizes.where("n > 1"), "key")
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come whole and one after the other; only the current one is held."""
         held, key, out = [], None, []
+
+        def close() -> list[tuple[int, int]]:
+            t = pa.Table.from_batches(held)
+            return forest(t.column(1).to_numpy(), t.column(2).to_numpy().view(np.uint64), _wides(t.column(3)), radius, far)
+
         for batch in batches:
-            k, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            k = batch.column(0).to_numpy()
             cut = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
             for a, b in zip(cut, cut[1:]):
                 if a == b:
                     continue
                 if key is not None and k[a] != key:
-                    out += forest(np.concatenate(held), radius)
+                    out += close()
                     held = []
                 key = k[a]
-                held.append(fp[a:b])
+                held.append(batch.slice(a, b - a))
             if len(out) > 100_000:
                 yield _edges(out)
                 out = []
         if held:
-            out += forest(np.concatenate(held), radius)
+            out += close()
         yield _edges(out)
 
     def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_edges(forest(np.unique(table.column("fp").to_numpy()).view(np.uint64), radius))])
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        t = table.take(pa.array(first))
+        return pa.Table.from_batches([_edges(forest(node, t.column("fp").to_numpy().view(np.uint64), _wides(t.column("wide")), radius, far))])
 
-    common = keyed.where(F.col("n") <= tile_rows).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(small, "u long, v long")
+    common = keyed.where(F.col("n") <= tile_rows).select("key", "node", "fp", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(small, "u long, v long")
     # buckets over tile_rows: tiles by population count and hash, sent to every tile pair that they are in
     ones, m = F.bit_count("fp"), F.ceil(F.col("n") / tile_rows).cast("int")
-    far = F.lit(radius)
-    tile = keyed.where(F.col("n") > tile_rows).select("key", "fp", ones.alias("c"), m.alias("m")).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    other = tile.withColumn("c2", F.explode(F.sequence(F.col("c") - far, F.col("c") + far))).withColumn("s2", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    tile = keyed.where(F.col("n") > tile_rows).select("key", "node", "fp", "wide", ones.alias("c"), m.alias("m")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    other = tile.withColumn("c2", F.explode(F.sequence(F.col("c") - radius, F.col("c") + radius))).withColumn("s2", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     own, its = F.struct("c", "s"), F.struct(F.col("c2").alias("c"), F.col("s2").alias("s"))
-    hot = other.select("key", "fp", F.least(own, its).alias("one"), F.greatest(own, its).alias("two")).groupBy("key", "one", "two").applyInArrow(pair, "u long, v long")
+    hot = other.select("key", "node", "fp", "wide", F.least(own, its).alias("one"), F.greatest(own, its).alias("two")).groupBy("key", "one", "two").applyInArrow(pair, "u long, v long")
     return common.unionAll(hot)
 
 
@@ -141,11 +180,15 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the least doc_id that can be reached."""
-    fps = stored(fingerprints(docs, shingle), "fps")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(distinct.select("fp"), radius))
-    classes = distinct.join(root.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, check: int = 0, far: int = 41) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the least doc_id that can be reached.
+
+    ``check``: two documents link only if their wide fingerprints of that many words also differ in at most `far`
+    of 256 bits; 41 is what shingle sets of Jaccard index 0.8 differ in on average, a little rounded up.
+    """
+    fps = stored(fingerprints(docs, shingle, check), "fps").withColumn("node", F.xxhash64("fp", "wide") if check else F.col("fp"))
+    distinct = stored(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("doc_id").alias("least")), "distinct")
+    root = components(links(distinct.select("node", "fp", "wide"), radius, far))
+    classes = distinct.select("node", "least").join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(classes.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
+    return fps.select("doc_id", "fp", "node").join(classes.select("node", "root").join(least, "root").drop("root"), "node").select("doc_id", "fp", "component_id")
