@@ -27,7 +27,7 @@ from gridloom.llm.common import stored
 from gridloom.llm.tokens import encoder
 
 #: Tasks that share the numbering of one length.
-SALTS = 64
+SALTS = 16
 
 
 def pieces(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 0, max_tokens: int = 2048, with_ids: bool = False) -> DataFrame:

@@ -14,6 +14,9 @@ from itertools import chain, islice
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+#: White space that does more than separate two words; texts that have it are cut at fewer places.
+_ODD = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+_ODD_ASCII = [x for x in _ODD if x.isascii()]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -37,17 +40,19 @@ class WordEncoder:
         self.word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n" if spaced else " "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if not spaced:
             self.word.normalizer = normalizers.Lowercase()
-        (self.word_bar,) = self.word.encode("\x01", add_special_tokens=False).ids
+        vocab = self.tok.get_vocab()
+        self.border = np.zeros(max(vocab.values()) + 1, bool)
+        self.border[[i for t, i in vocab.items() if (t[0] == "\u0120" if spaced else t.endswith("</w>"))]] = True
 
     def _pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
-        words = text.split()
-        gaps = text.count(" ") + text.count("\n")
-        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):  # some white space does more than separate two words
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in (_ODD_ASCII if text.isascii() else _ODD)):
             return _CUT.split(text)
         # a line break stays with the word after it where white space is kept
-        return text.replace("\n", " \n").split(" ") if self.lead else words
+        if self.lead:
+            return text.replace("\n", " \n").split(" ")
+        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")  # such a tokenizer lowers case itself
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes many pieces as one text, cut again at a bar that no other piece can give."""
@@ -60,13 +65,27 @@ class WordEncoder:
                 (alone if len(own.split()) != 1 or own[0].isspace() or own[-1].isspace() or self.bar in own else joint).append(p)
         for piece, enc in zip(alone, self.tok.encode_batch_fast([p if p[:1] == "\n" and self.lead else self.lead + p for p in alone], add_special_tokens=False)):
             self.memo[piece] = np.array(enc.ids, "<u4").tobytes()
-        self._joint(self.word, "\n\x01\n " if self.lead else " \x01 ", self.word_bar, plain)
+        self._plain(plain)
         if not self.lead:
             self._joint(self.tok, " \x01 ", self.bar_id, joint)
         else:  # "\n" opens every piece; it belongs to those that begin with it
             self._joint(self.tok, "\n ", self.bar_id, [p for p in joint if p[0] != "\n"])
             self._joint(self.tok, "", self.bar_id, [p for p in joint if p[0] == "\n"], own=True)
 
+    def _plain(self, pieces: list[str]) -> None:
+        """Pieces of letters only: the tokens themselves tell where a word begins, or ends."""
+        memo, at, gap = self.memo, 0, "\n " if self.lead else " "
+        texts = [gap[1:] + gap.join(pieces[i : i + 512]) for i in range(0, len(pieces), 512)]
+        for i in range(0, len(texts), 32):
+            for enc in self.word.encode_batch_fast(texts[i : i + 32], add_special_tokens=False):
+                ids = np.array(enc.ids, "<u4")
+                raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.border[ids])).tolist()
+                starts, ends = (cuts, [*cuts[1:], len(raw)]) if self.lead else ([0, *(c + 4 for c in cuts[:-1])], [c + 4 for c in cuts])
+                for piece, a, b in zip(pieces[at : at + len(starts)], starts, ends):
+                    memo[piece] = raw[a:b]
+                at += len(starts)
+        assert at == len(pieces)
+
     def _joint(self, tok: Tokenizer, bar: str, bar_id: int, pieces: list[str], own: bool = False) -> None:
         memo, at = self.memo, 0
         texts = ["".join([bar + p for p in pieces[i : i + 512]]) for i in range(0, len(pieces), 512)]
