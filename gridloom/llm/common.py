@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null document id inside an operator; it sorts before all others.
@@ -88,3 +88,21 @@ def runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
         cut = np.flatnonzero(np.diff(keys)) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
             yield int(keys[a]), a, b
+
+
+def id_bounds(ids: DataFrame, n: int) -> list[int]:
+    """The least id of each of up to n ranges with about as many rows each, from the column doc_id alone."""
+    first = ids.select("doc_id").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least"))
+    return sorted({r.least for r in first.collect()})  # one a range
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """The index of the last bound that is not above the key, by binary search."""
+    steps = [1 << k for k in range(max(1, len(bounds).bit_length()) - 1, -1, -1)]
+    table = bounds_table(bounds)
+    higher = lambda lo, s: F.coalesce(F.get(table, lo + s) <= key, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when(higher(lo, s), lo + s).otherwise(lo))
+
+
+def bounds_table(bounds: list[int]) -> Column:
+    return F.lit(bounds).cast("array<long>") if bounds else F.array(F.lit(NULL_ID))

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NULL_ID
+from gridloom.llm.common import NULL_ID, bounds_table, id_bounds, range_of
 from gridloom.llm.words import _BASE, _powers, mixed, word_hashes
 
 BASE_CELLS, HASHES = 24, 3
@@ -185,24 +185,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """The index of the last bound that is not above the key, by binary search."""
-    steps = [1 << k for k in range(max(1, len(bounds).bit_length()) - 1, -1, -1)]
-    table = F.lit(bounds) if bounds else F.array(F.lit(NULL_ID))
-    higher = lambda lo, s: F.coalesce(F.get(table, lo + s) <= key, F.lit(False))
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when(higher(lo, s), lo + s).otherwise(lo))
-
-
 def _in_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, text, part, ahead) dealt and sorted so that each own row is followed by the next document's."""
     n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    first = key.select("doc_id").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least"))
-    bounds = sorted({r.least for r in first.collect()})  # one a range
-    part = _range_of(F.col("doc_id"), bounds)
-    own = key.withColumn("part", part)
-    last = len(bounds) - 1
-    table = F.lit(bounds) if bounds else F.array(F.lit(NULL_ID))
+    bounds = id_bounds(key, n)
+    own = key.withColumn("part", range_of(F.col("doc_id"), bounds))
+    last, table = len(bounds) - 1, bounds_table(bounds)
     before = F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1)
     places = F.when(F.col("doc_id") == F.get(table, F.col("part")), F.array(F.struct("part", F.lit(0).alias("ahead")), F.struct(before.alias("part"), F.lit(1).alias("ahead")))).otherwise(F.array(F.struct("part", F.lit(0).alias("ahead"))))
     dealt = own.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.*")

@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NULL_ID, stored, workspace
+from gridloom.llm.common import NULL_ID, id_bounds, range_of, stored, workspace
 from gridloom.llm.tokens import encoder
 
 MAGIC = b"GLV1"
@@ -35,8 +34,8 @@ MAGIC = b"GLV1"
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
 
-def encode_image(doc_ids: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> bytes:
-    """One image of documents' ranks in a row."""
+def encode(counts: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of documents' ranks in a row, and how many data bytes each document has."""
     ranks = ranks.astype("<u4")
     size = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     quads = -(-counts // 4)
@@ -44,9 +43,14 @@ def encode_image(doc_ids: np.ndarray, counts: np.ndarray, ranks: np.ndarray) ->
     code = np.zeros(4 * int(quads.sum()), np.uint8)
     code[lane] = size
     control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]]
-    head = MAGIC + struct.pack("<IQ", len(doc_ids), len(ranks))
-    return head + doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + control.tobytes() + data.tobytes()
+    total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    ends = np.cumsum(counts)
+    return control, ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]], counts + total[ends] - total[ends - counts]
+
+
+def image(doc_ids: np.ndarray, counts: np.ndarray, control: bytes, data: bytes) -> bytes:
+    head = MAGIC + struct.pack("<IQ", len(doc_ids), int(counts.sum()))
+    return head + doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + control + data
 
 
 def decode_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,8 +100,9 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids, n in zip(b.column(1).to_pylist(), b.column(0).to_pylist()):
-                c = np.bincount(_array(ids, n))
+            for at in range(0, b.num_rows, 512):
+                each = b.slice(at, 512)
+                c = np.bincount(_array(b"".join(each.column(1).to_pylist()), sum(each.column(0).to_pylist())))
                 if len(c) > len(total):
                     total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
                 total[: len(c)] += c
@@ -116,33 +121,40 @@ def write_ids(docs: DataFrame, folder: str, path: str, spaced: bool = False, end
     docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate(order)], "rank long, id long").write.mode("overwrite").parquet(f"{folder}/ranks")
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [encode_image(np.zeros(1), np.array([n]), rank[_array(ids, n)])[28:] for n, ids in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "n", "code"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                n = b.column(1).to_numpy()
+                control, data, size = encode(n, rank[_array(b"".join(b.column(2).to_pylist()), int(n.sum()))])
+                control, data, q, d = control.tobytes(), data.tobytes(), np.cumsum(-(-n // 4)), np.cumsum(size)
+                code = [control[i:j] + data[k:m] for i, j, k, m in zip([0, *q.tolist()], q.tolist(), [0, *d.tolist()], d.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(code, pa.binary())], ["doc_id", "n", "code"])
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, image, skipped, ids, counts, codes = TaskContext.get().partitionId(), 0, 0, [], [], []
+        part, nth, skipped, held = None, 0, 0, []
 
         def close() -> pa.RecordBatch:
-            c = np.array(counts, np.int64)
-            quads = -(-c // 4)
-            blob = b"".join([MAGIC, struct.pack("<IQ", len(ids), int(c.sum())), np.array(ids, "<i8").tobytes(), c.astype("<u4").tobytes(), *(x[:q] for x, q in zip(codes, quads.tolist())), *(x[q:] for x, q in zip(codes, quads.tolist()))])
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([image]), pa.array([skipped]), pa.array([int(c.sum())]), pa.array([blob], pa.binary())], ["part", "image", "skipped", "tokens", "image_bytes"])
+            ids, n, code = np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64), [h[2] for h in held]
+            q = (-(-n // 4)).tolist()
+            blob = image(ids, n, b"".join([x[:k] for x, k in zip(code, q)]), b"".join([x[k:] for x, k in zip(code, q)]))
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([nth]), pa.array([skipped]), pa.array([int(n.sum())]), pa.array([blob], pa.binary())], ["part", "image", "skipped", "tokens", "image_bytes"])
 
         total = 0
         for b in batches:
-            for d, n, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids.append(d)
-                counts.append(n)
-                codes.append(code)
-                total += n
-                if total >= image_tokens:
+            for p, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held and (p != part or total >= image_tokens):
                     yield close()
-                    image, skipped, total, ids, counts, codes = image + 1, skipped + total, 0, [], [], []
-        if ids:
+                    nth, skipped, total, held = nth + 1, skipped + total, 0, []
+                if p != part:
+                    part, nth, skipped = p, 0, 0
+                held.append(row)
+                total += row[1]
+        if held:
             yield close()
 
-    ordered = tokens.mapInArrow(recode, "doc_id long, n long, code binary").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "code")
+    bounds = id_bounds(tokens, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    coded = tokens.mapInArrow(recode, "doc_id long, n long, code binary").select(range_of(F.col("doc_id"), bounds).cast("long").alias("part"), "doc_id", "n", "code")
+    ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "n", "code")
     ordered.mapInArrow(images, "part long, image long, skipped long, tokens long, image_bytes binary").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/images")
 
 
