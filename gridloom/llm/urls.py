@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import stored
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,8 +65,9 @@ def templates(paths: DataFrame, depth: int = 4, fanout: int = 20, mean_pages: fl
         variable = (F.col("kinds") >= fanout) & (F.col("p") < mean_pages * F.col("kinds"))
         name = F.when(F.col("kinds") == 1, F.col("seg")).when(~variable & differs, F.col("seg")).otherwise("*")
         step = both.select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("grown"))
-        out = out.join(step, ["host", "template", "seg"], "left").withColumn("template", F.coalesce("grown", "template")).drop("grown")
-    return out.drop("seg").withColumn("template", F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        grown = out.join(step, ["host", "template", "seg"], "left").withColumn("template", F.coalesce("grown", "template")).drop("grown", "seg")
+        out = stored(grown, "templates")  # each level reads the one before twice
+    return out.withColumn("template", F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = (), purity: float = 0.5, weight: float = 4.0, **tree) -> DataFrame:
@@ -78,7 +81,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     marked = page.select("page_id", "host", "segs").join(known, "page_id", "left")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    paths = marked.groupBy("host", "segs").agg(F.count("*").alias("pages"), one(F.col("bad") == F.lit(False)).alias("good"), one(F.col("bad")).alias("bad"))
+    paths = stored(marked.groupBy("host", "segs").agg(F.count("*").alias("pages"), one(F.col("bad") == F.lit(False)).alias("good"), one(F.col("bad")).alias("bad")), "paths")
     tree_of = templates(paths, **tree)
     total = paths.agg(F.sum("good").alias("ag"), F.sum("bad").alias("ab")).withColumn("k", F.lit(0))
     hosts = paths.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb")).withColumn("k", F.lit(0))
