@@ -420,7 +420,7 @@ def _(spark, d):
 
 
 def _snap_query(cf: bool, cg: bool):
-    name = {(False, False): "snap_union", (True, False): "snap_grid", (False, True): "snap_points", (True, True): "snap_inside"}[cf, cg]
+    name = {(False, False): "jn2_union", (True, False): "jn2_grid", (False, True): "jn2_points", (True, True): "jn2_inside"}[cf, cg]
 
     @query(name, _snap_sql(cf, cg))
     def _(spark, d):
@@ -432,12 +432,12 @@ for _cf in (False, True):
         _snap_query(_cf, _cg)
 
 
-@query("snap_dim", f"with {T6}, b as (select min(y) y0, (max(y) - min(y)) / 19 dy, min(x) x0, (max(x) - min(x)) / 9 dx from pts) select cast(20 - greatest(0, least(19, ceil((y - y0) / dy - 0.5))) as int) i, cast(greatest(0, least(9, ceil((x - x0) / dx - 0.5))) + 1 as int) j, round(arg_min(v, pt_id), 6) + 0.0 v from pts, b group by 1, 2")
+@query("jn2_dim", f"with {T6}, b as (select min(y) y0, (max(y) - min(y)) / 19 dy, min(x) x0, (max(x) - min(x)) / 9 dx from pts) select cast(20 - greatest(0, least(19, ceil((y - y0) / dy - 0.5))) as int) i, cast(greatest(0, least(9, ceil((x - x0) / dx - 0.5))) + 1 as int) j, round(arg_min(v, pt_id), 6) + 0.0 v from pts, b group by 1, 2")
 def _(spark, d):
     return snap.snap(t6(spark, d), snap.Lattice(dim=(20, 10)))[0].cells
 
 
-@query("snap_res", f"with {T6}, b as (select cast(floor((max(y) - min(y)) / 25) as int) ny, min(y) + fmod(max(y) - min(y), 25) / 2 y0, cast(floor((max(x) - min(x)) / 48) as int) nx, min(x) + fmod(max(x) - min(x), 48) / 2 x0 from pts) select cast(ny + 1 - greatest(0, least(ny, ceil((y - y0) / 25 - 0.5))) as int) i, cast(greatest(0, least(nx, ceil((x - x0) / 48 - 0.5))) + 1 as int) j, round(arg_min(v, pt_id), 6) + 0.0 v from pts, b group by 1, 2")
+@query("jn2_res", f"with {T6}, b as (select cast(floor((max(y) - min(y)) / 25) as int) ny, min(y) + fmod(max(y) - min(y), 25) / 2 y0, cast(floor((max(x) - min(x)) / 48) as int) nx, min(x) + fmod(max(x) - min(x), 48) / 2 x0 from pts) select cast(ny + 1 - greatest(0, least(ny, ceil((y - y0) / 25 - 0.5))) as int) i, cast(greatest(0, least(nx, ceil((x - x0) / 48 - 0.5))) + 1 as int) j, round(arg_min(v, pt_id), 6) + 0.0 v from pts, b group by 1, 2")
 def _(spark, d):
     return snap.snap(t6(spark, d), snap.Lattice(res=(25.0, 48.0)))[0].cells
 

@@ -109,9 +109,37 @@ def _(spark, d):
     return display.footprint(spark, GAU, Grid(21, 11, 1.0, 2.0))
 
 
+@query("se2_union", f"with {_ALL}, un as (select dabs, d from pr where di > 5 union all select dabs, d from pr where dj > 3), br as (select quantile_cont(d, {_breaks(10)}) q from un) select bin, count(*) n, round(avg(d), 6) + 0.0 d_mean, round(avg(dabs * dabs), 6) + 0.0 stat from (select un.*, cast(len([b for b in q if b <= d]) as int) bin from un, br) group by bin")
+def _(spark, d):
+    p = variogram.pairs(t3(spark, d)).select("dabs", "d", "di", "dj")
+    both = p.where("di > 5").select("dabs", "d").unionByName(p.where("dj > 3").select("dabs", "d"))
+    return aggregate.bin_statistics(variogram.add_bins(both, 10))
+
+
 # -- parameters
 
 
+@query("pr2_bounds", "select * from (values ('y.kap', 1.0::double, 10.0::double, 30.0::double), ('x.kap', 0.5, 1.0, 2.0)) t(param, lower, initial, upper)")
+def _(spark, d):
+    b = likelihood.bounds(t3(spark, d), Params(Axis("mat"), Axis("gxp")))
+    return likelihood.bounds_table(spark, b).drop("fitted").where("param like '%kap'")
+
+
+@query("pr3_make", "select * from (values ('eps', null::double), ('psill', 2.0), ('y.rho', 3.0), ('x.rho', null)) t(param, value)")
+def _(spark, d):
+    from gridloom.model import make_params
+
+    p = make_params({"y": {"k": "exp", "rho": 3.0}, "x": {"k": "exp"}, "psill": 2.0})
+    return spark.createDataFrame(list(zip(p.names, p.vector())), "param string, value double")
+
+
+@query("pr5_templates", "select * from (values ('exp', ['rho']), ('gau', ['rho']), ('sph', ['rho']), ('gxp', ['rho', 'kap']), ('mat', ['rho', 'kap'])) t(k, names)")
+def _(spark, d):
+    from gridloom.model import KERNELS
+
+    return spark.createDataFrame([(k, list(v)) for k, v in KERNELS.items()], "k string, names array<string>")
+
+
 @query("pr1_defaults", f"with {T3}, s as (select var_samp(v) s from t3) select param, round(lower, 6) + 0.0 lower, round(initial, 6) + 0.0 initial, round(upper, 6) + 0.0 upper from (select 'eps' param, 1e-6 lower, s / 2 initial, 2 * s upper from s union all select 'psill', 1e-6, s / 2, 2 * s from s union all select 'y.rho', 1, sqrt(50), 50 union all select 'x.rho', 2, sqrt(2 * 22), 22)")
 def _(spark, d):
     g = t3(spark, d)
@@ -126,6 +154,13 @@ def _(spark, d):
 
 # -- kernels
 
+
+@query("kn_mat_any")
+def _(spark, d):
+    """A Matern kernel of any shape, by numerical integration."""
+    return spark.createDataFrame([(k, float(c)) for k, c in enumerate(kernels.first_row(Axis("mat", 4.0, 1.7), 30, 1.0))], "lag int, c double")
+
+
 _N = "(select unnest(range(0, 30)) n)"
 
 
@@ -174,6 +209,26 @@ def _(spark, d):
     return spark.createDataFrame([(a + 1, b + 1, float(v[a, b])) for a in range(12) for b in range(12)], "a int, b int, c double")
 
 
+@query("cv1_scaled", f"with {T3} select a.i ia, a.j ja, b.i ib, b.j jb, round(exp(-pow((a.i - b.i) / 6.0, 2)) * exp(-pow(2.0 * (a.j - b.j) / 5.0, 2)) + case when a.i = b.i and a.j = b.j then 0.125 else 0 end, 6) + 0.0 c from t3 a, t3 b where a.i = 5")
+def _(spark, d):
+    from gridloom.plans.strategy import collect
+
+    obs = collect(t3(spark, d))
+    v = linalg.covariance(GAU, obs.grid, obs.i, obs.j, scaled=True)
+    return spark.createDataFrame([(int(obs.i[a]), int(obs.j[a]), int(obs.i[b]), int(obs.j[b]), float(v[a, b])) for a in range(len(v)) if obs.i[a] == 5 for b in range(len(v))], "ia int, ja int, ib int, jb int, c double")
+
+
+_ORDER = sorted(SIX, key=lambda c: (c[1], c[0]))
+
+
+@query("cv3_factor", (lambda s: s.text(" union all ".join(f"select {a} a, {b} b, round(l{a}_{b}, 6) + 0.0 l from {s.at}" for a in range(6) for b in range(a + 1))))(solve.Solution(_ORDER)))
+def _(spark, d):
+    from gridloom.plans.strategy import collect
+
+    low = collect(some(spark, d)).factor(GAU).l
+    return spark.createDataFrame([(a, b, float(low[a, b])) for a in range(6) for b in range(a + 1)], "a int, b int, l double")
+
+
 def _solved() -> str:
     s = solve.Solution(SIX)
     s.solve("w", [f"z{a}" for a in range(6)])
