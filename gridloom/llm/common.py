@@ -106,3 +106,19 @@ def range_of(key: Column, bounds: list[int]) -> Column:
 
 def bounds_table(bounds: list[int]) -> Column:
     return F.lit(bounds).cast("array<long>") if bounds else F.array(F.lit(NULL_ID))
+
+
+def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df, marked for a broadcast if it has no more than so many rows; otherwise the join is left to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """A large object that a Python worker keeps from task to task; making another one lets it go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

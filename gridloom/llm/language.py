@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import held
+
 HIDDEN, LONG, EVIDENCE = 16, 24, 32
 
 
@@ -55,9 +57,9 @@ def init(classes: int, seed: int = 1) -> dict[str, np.ndarray]:
 
 def _scan(p: dict[str, np.ndarray], d: str, ids: np.ndarray, n: np.ndarray, cache: list | None = None) -> np.ndarray:
     """Hidden states of one direction; rows are sorted by falling length, so those still running come first."""
-    h3, h = 2 * HIDDEN, np.zeros((len(ids), HIDDEN), np.float32)
-    out = np.zeros((len(ids), ids.shape[1], HIDDEN), np.float32)
-    w, u, b = p[f"W{d}"] + p[f"b{d}"], p[f"U{d}"], None
+    h3, h = 2 * HIDDEN, np.zeros((len(ids), HIDDEN), p["V"].dtype)
+    out = np.zeros((len(ids), ids.shape[1], HIDDEN), p["V"].dtype)
+    w, u = p[f"W{d}"] + p[f"b{d}"], p[f"U{d}"]
     live = np.searchsorted(-n, -np.arange(ids.shape[1]), side="left")
     for t in range(ids.shape[1]):
         k = live[t]
@@ -77,7 +79,7 @@ def _scan(p: dict[str, np.ndarray], d: str, ids: np.ndarray, n: np.ndarray, cach
 def _unscan(p: dict[str, np.ndarray], d: str, ids: np.ndarray, cache: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
     """Backpropagation through time of `_scan`."""
     u, gw, gu = p[f"U{d}"], np.zeros_like(p[f"W{d}"]), np.zeros_like(p[f"U{d}"])
-    dh = np.zeros((len(ids), HIDDEN), np.float32)
+    dh = np.zeros((len(ids), HIDDEN), dout.dtype)
     for t in range(ids.shape[1] - 1, -1, -1):
         k, old, z, r, m, q = cache[t]
         g = dh[:k] + dout[:k, t]
@@ -122,7 +124,7 @@ def gradients(p: dict[str, np.ndarray], words: list[bytes], label: np.ndarray) -
     loss = -np.log(np.take_along_axis(y, label[:, None, None], 2)[..., 0] + 1e-12)[on].mean()
     dy = y.copy()
     np.put_along_axis(dy, label[:, None, None], np.take_along_axis(dy, label[:, None, None], 2) - 1, 2)
-    dy *= (on / on.sum())[..., None].astype(np.float32)
+    dy *= (on / on.sum())[..., None].astype(dy.dtype)
     grad = {"V": np.tensordot(h, dy, ((0, 1), (0, 1))), "c": dy.sum((0, 1))}
     dh = dy @ p["V"].T
     _unscan(p, "f", ids, cf, dh[..., :HIDDEN], grad)
@@ -151,7 +153,7 @@ def train(words: list[bytes], label: np.ndarray, weight: np.ndarray, classes: in
 class Reader:
     """Label evidence of words, remembered up to a limit."""
 
-    def __init__(self, p: dict[str, np.ndarray], limit: int = 700_000):
+    def __init__(self, p: dict[str, np.ndarray], limit: int = 400_000):
         self.p, self.limit, self.memo = p, limit, {}
         self.table = np.zeros((1024, len(p["c"]) + 1), np.float32)
 
@@ -190,7 +192,11 @@ def sample(docs: DataFrame, per_language: int, per_document: int) -> DataFrame:
     """(lang, word, n) of the bounded sample of labelled documents, without the held-out fold."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     order = F.xxhash64(F.col("doc_id").cast("long"))
-    ranked = known.select("lang", order.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
+    # four times as many as are wanted, by their share of the hash range, so that few rows meet in a language's task
+    first = F.lit(False)
+    for r in known.groupBy("lang").count().collect():  # one row a language
+        first = first | ((F.col("lang") == r.lang) & (order <= int(-(2**63) + min(1.0, 4 * per_language / r["count"]) * (2**64 - 2**12))))
+    ranked = known.where(first).select("lang", order.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
     limits = ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()  # one row a language
     near = F.lit(False)
     for r in limits:
@@ -217,9 +223,6 @@ def fit(docs: DataFrame, per_language: int = 300, per_document: int = 100, steps
     return langs, train([bytes(r.word) for r in rows], label, np.array([r.n for r in rows], float), len(langs), steps)
 
 
-_READERS: dict[bytes, Reader] = {}
-
-
 def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], *keep: str) -> DataFrame:
     """doc_id, lang_pred and score of every row, with the columns kept."""
     langs, p = model
@@ -229,10 +232,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], *k
     mark = p["V"].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _READERS:
-            _READERS.clear()
-            _READERS[mark] = Reader(p)
-        reader = _READERS[mark]
+        reader = held(("reader", mark), lambda: Reader(p))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)

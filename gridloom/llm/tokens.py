@@ -8,11 +8,16 @@ its pieces. Pieces repeat far more often than documents do, so most of the work
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain, islice
 
-import numpy as np
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; read at the library's first use
+
+import numpy as np  # noqa: E402
+from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
+
+from gridloom.llm.common import held  # noqa: E402
 
 #: White space that does more than separate two words; texts that have it are cut at fewer places.
 _ODD = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -20,6 +25,13 @@ _ODD_ASCII = [x for x in _ODD if x.isascii()]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class WordEncoder:
     """Encodes batches of texts to little-endian unsigned 32-bit ids.
 
@@ -52,13 +64,14 @@ class WordEncoder:
         # a line break stays with the word after it where white space is kept
         if self.lead:
             return text.replace("\n", " \n").split(" ")
-        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")  # such a tokenizer lowers case itself
+        # such a tokenizer lowers case itself; within Latin-1 that is str.lower, and composition changes nothing
+        return (text.lower() if _latin(text) else text).replace("\n", " ").split(" ")
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes many pieces as one text, cut again at a bar that no other piece can give."""
         plain, joint, alone = [], [], []
         for p in pieces:
-            if p.isalpha() and (self.lead or p.isascii()):
+            if p.isalpha() and (self.lead or _latin(p)):
                 plain.append(p)
             else:
                 own = p[1:] if self.lead and p[:1] == "\n" else p
@@ -127,11 +140,6 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
-
-
 def encoder(path: str, spaced: bool) -> WordEncoder:
     """One encoder for each Python worker."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = WordEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    return held(("encoder", path, spaced), lambda: WordEncoder(path, spaced))
