@@ -44,6 +44,7 @@ def collect(grid: Grid, n_max: int = N_MAX, separable: bool = True, lattice_max:
         raise ValueError(f"{n} observed cells are over the bound; use the distributed forms in plans.linalg, or a sub-grid")
     table = cells.select("i", "j", "v").toArrow()
     i, j = (table.column(c).to_numpy().astype(np.int64) for c in "ij")
-    z = np.array(table.column("v").to_pylist(), float).reshape(len(i), -1)
+    v = table.column("v")
+    z = np.array(v.to_pylist(), float).reshape(len(i), -1) if grid.layered else v.to_numpy().astype(float)[:, None]
     order = np.lexsort((i, j))
     return Observed(grid, i[order], j[order], z[order], lattice, found["ij"] if lattice is not None else None)

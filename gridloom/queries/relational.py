@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql.replace("+ 0.0", "+ 0e0")  # a double zero; 0.0 is a decimal
         return f
 
     return put

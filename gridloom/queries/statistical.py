@@ -104,7 +104,7 @@ def _(spark, d):
     return variogram.semivariogram(variogram.pairs(t3(spark, d)), GAU)[1]
 
 
-@query("pl2_footprint", "select cast(a.i as int) i, cast(b.j as int) j, abs(a.i - 11.0) dy, 2.0 * abs(b.j - 6.0) dx, round(4.0 * exp(-pow((a.i - 11) / 6.0, 2)) * exp(-pow(2.0 * (b.j - 6) / 5.0, 2)) + case when a.i = 11 and b.j = 6 then 0.5 else 0 end, 6) + 0.0 cov from (select unnest(range(1, 22)) i) a, (select unnest(range(1, 12)) j) b")
+@query("pl2_footprint", "select cast(a.i as int) i, cast(b.j as int) j, abs(a.i - 11.0) + 0.0 dy, 2.0 * abs(b.j - 6.0) + 0.0 dx, round(4.0 * exp(-pow((a.i - 11) / 6.0, 2)) * exp(-pow(2.0 * (b.j - 6) / 5.0, 2)) + case when a.i = 11 and b.j = 6 then 0.5 else 0 end, 6) + 0.0 cov from (select unnest(range(1, 22)) i) a, (select unnest(range(1, 12)) j) b")
 def _(spark, d):
     return display.footprint(spark, GAU, Grid(21, 11, 1.0, 2.0))
 
