@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import lean, stored
 from gridloom.llm.components import components
 from gridloom.llm.words import mixed
 
 BITS = 64
 #: Rows of one comparison tile in numpy; lanes of a wide fingerprint.
 TILE, WIDE = 1024, 4
+#: Buckets of up to so many fingerprints are compared together.
+SMALL = 64
 
 
 def _grams(text: bytes | None, shingle: int) -> list[bytes]:
@@ -47,21 +49,31 @@ def _grams(text: bytes | None, shingle: int) -> list[bytes]:
     return [b" ".join(t) for t in zip(*(w[i:] for i in range(shingle)))]
 
 
-def _majority(h: np.ndarray) -> np.ndarray:
-    """The bits that more than half of the rows of h (n, lanes) set, as lanes."""
+def _majority(h: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """The bits that more than half of the rows of h (n, lanes) set, as lanes; rows may have weights."""
     ones = np.zeros(BITS * h.shape[1], np.int64)
     for at in range(0, len(h), 16384):
         part = np.ascontiguousarray(h[at : at + 16384], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64) if weight is None else weight[at : at + 16384] @ bits
+    return np.packbits(2 * ones > (len(h) if weight is None else weight.sum()), bitorder="little").view("<u8")
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The fingerprint of UTF-8 text; bytes.lower() changes A-Z only."""
+def fingerprint(text: bytes | None, shingle: int = 3, cap: float | None = None) -> int:
+    """The fingerprint of UTF-8 text; bytes.lower() changes A-Z only.
+
+    ``cap``: a shingle counts for at most that share of all (but once at least), so that no table's rulings and no
+    language's commonest words decide the bits alone.
+    """
     grams = _grams(text, shingle)
-    digest = xxhash.xxh64_intdigest
+    if not grams:
+        return 0
+    digest, weight = xxhash.xxh64_intdigest, None
     h = np.fromiter((digest(g, 42) for g in grams), "<u8", len(grams))
-    return int(_majority(h[:, None])[0]) if grams else 0
+    if cap is not None:
+        h, weight = np.unique(h, return_counts=True)
+        weight = np.minimum(weight, max(1, int(cap * len(grams))))
+    return int(_majority(h[:, None], weight)[0])
 
 
 def wide(text: bytes | None, shingle: int) -> bytes:
@@ -72,7 +84,7 @@ def wide(text: bytes | None, shingle: int) -> bytes:
     return (_majority(np.stack([mixed(h + np.uint64(k)) for k in range(1, WIDE + 1)], 1)) if grams else np.zeros(WIDE, "<u8")).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, check: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, check: int = 0, cap: float | None = None) -> DataFrame:
     """(doc_id, fp, wide) of every row: fp the fingerprint's bits as a long, wide that of `check` word shingles, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +92,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, check: int = 0) -> DataFrame
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
                 texts = b.column(1).to_pylist()
-                fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+                fp = np.array([fingerprint(t, shingle, cap) for t in texts], np.uint64).view(np.int64)
                 more = pa.array([wide(t, check) if check else None for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), more], ["doc_id", "fp", "wide"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, wide binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long, wide binary")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -125,6 +137,50 @@ def _wides(column: pa.ChunkedArray | pa.Array) -> np.ndarray | None:
     return None if not rows or rows[0] is None else np.frombuffer(b"".join(rows), "<u8").reshape(len(rows), -1)
 
 
+def _in_buckets(t: pa.Table, radius: int, far: int) -> Iterator[pa.RecordBatch]:
+    """Links within each bucket of a table (key, node, fp, wide) sorted by key.
+
+    Buckets of up to SMALL rows are compared all at once, rows with those that follow at distance 1, 2, ...;
+    larger ones each in tiles.
+    """
+    t = t.combine_chunks()
+    k, node, fp, wides = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy().view(np.uint64), _wides(t.column(3))
+    cut = np.flatnonzero(np.diff(k)) + 1
+    start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
+    size = end - start
+    out: list[tuple[int, int]] = []
+    few = np.flatnonzero(np.repeat(size <= SMALL, size))
+    key, x = k[few], fp[few]
+    pairs = []
+    for d in range(1, min(SMALL, len(few))):
+        same = key[d:] == key[:-d]
+        if not same.any():
+            break
+        i = np.flatnonzero(same & (np.bitwise_count(x[d:] ^ x[:-d]) <= radius))
+        a, b = few[i], few[i + d]
+        if wides is not None and len(a):
+            close = np.bitwise_count(wides[a] ^ wides[b]).sum(1, dtype=np.int64) <= far
+            a, b = a[close], b[close]
+        pairs.append(np.stack((node[a], node[b]), 1))
+    if pairs:
+        parent: dict[int, int] = {}
+        for u, v in np.unique(np.concatenate(pairs), axis=0).tolist():
+            p, q = _root(parent, u), _root(parent, v)
+            if p != q:
+                parent[p] = q
+                out.append((u, v))
+    for a, b in zip(start[size > SMALL].tolist(), end[size > SMALL].tolist()):
+        out += forest(node[a:b], fp[a:b], None if wides is None else wides[a:b], radius, far)
+    yield _edges(out)
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while (up := parent.setdefault(x, x)) != x:
+        parent[x] = parent[up]
+        x = up
+    return x
+
+
 def links(nodes: DataFrame, radius: int = 2, far: int = 0, tile_rows: int = 8192) -> DataFrame:
     """Links (u, v) whose transitive closure is that of all pairs of distinct nodes (node, fp, wide) within the radii."""
     bands = radius + 2
@@ -135,37 +191,25 @@ def links(nodes: DataFrame, radius: int = 2, far: int = 0, tile_rows: int = 8192
     keyed = nodes.select("node", "fp", "wide", F.explode(F.array(*keys)).alias("key")).join(sizes.where("n > 1"), "key")
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets come whole and one after the other; only the current one is held."""
-        held, key, out = [], None, []
-
-        def close() -> list[tuple[int, int]]:
-            t = pa.Table.from_batches(held)
-            return forest(t.column(1).to_numpy(), t.column(2).to_numpy().view(np.uint64), _wides(t.column(3)), radius, far)
-
+        """Buckets come whole and one after the other; one that a batch breaks off waits for the next."""
+        rest: pa.Table | None = None
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            cut = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
-            for a, b in zip(cut, cut[1:]):
-                if a == b:
-                    continue
-                if key is not None and k[a] != key:
-                    out += close()
-                    held = []
-                key = k[a]
-                held.append(batch.slice(a, b - a))
-            if len(out) > 100_000:
-                yield _edges(out)
-                out = []
-        if held:
-            out += close()
-        yield _edges(out)
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            k = t.column(0).to_numpy()
+            end = int(np.searchsorted(k, k[-1], side="left")) if len(k) else 0
+            rest = t.slice(end).combine_chunks()
+            if end:
+                yield from _in_buckets(t.slice(0, end), radius, far)
+        if rest is not None and rest.num_rows:
+            yield from _in_buckets(rest, radius, far)
 
     def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         node, first = np.unique(table.column("node").to_numpy(), return_index=True)
         t = table.take(pa.array(first))
         return pa.Table.from_batches([_edges(forest(node, t.column("fp").to_numpy().view(np.uint64), _wides(t.column("wide")), radius, far))])
 
-    common = keyed.where(F.col("n") <= tile_rows).select("key", "node", "fp", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(small, "u long, v long")
+    common = keyed.where(F.col("n") <= tile_rows).select("key", "node", "fp", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(lean(small), "u long, v long")
     # buckets over tile_rows: tiles by population count and hash, sent to every tile pair that they are in
     ones, m = F.bit_count("fp"), F.ceil(F.col("n") / tile_rows).cast("int")
     tile = keyed.where(F.col("n") > tile_rows).select("key", "node", "fp", "wide", ones.alias("c"), m.alias("m")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
@@ -180,13 +224,13 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, check: int = 0, far: int = 41) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, check: int = 0, far: int = 41, cap: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least doc_id that can be reached.
 
     ``check``: two documents link only if their wide fingerprints of that many words also differ in at most `far`
     of 256 bits; 41 is what shingle sets of Jaccard index 0.8 differ in on average, a little rounded up.
     """
-    fps = stored(fingerprints(docs, shingle, check), "fps").withColumn("node", F.xxhash64("fp", "wide") if check else F.col("fp"))
+    fps = stored(fingerprints(docs, shingle, check, cap), "fps").withColumn("node", F.xxhash64("fp", "wide") if check else F.col("fp"))
     distinct = stored(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("doc_id").alias("least")), "distinct")
     root = components(links(distinct.select("node", "fp", "wide"), radius, far))
     classes = distinct.select("node", "least").join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
