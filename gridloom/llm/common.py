@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +115,29 @@ def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers idle beside a stage that needs none of theirs."""
+    try:
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(run, keeps: bool = False):
+    """A map over batches that lets go of what its worker held for other operators, and of freed memory at its end."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _HELD.clear()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
 _HELD: dict = {}
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NULL_ID, bounds_table, id_bounds, range_of
+from gridloom.llm.common import bounds_table, id_bounds, lean, NULL_ID, range_of
 from gridloom.llm.words import _BASE, _powers, mixed, word_hashes
 
 BASE_CELLS, HASHES = 24, 3
@@ -168,10 +168,10 @@ def similarity(a: str, b: str) -> float | None:
             # the checks were cut to 32 bits after summing, so a carry of a few may be lost
             if abs((int(check[c]) * int(count[c]) - own + 2**31) % 2**32 - 2**31) <= max(n, m):
                 sign = int(count[c])
-                for at in _cells(d, part)[0]:
-                    count[at] -= sign
-                    total[at] -= d[0] * np.uint64(sign % 2**64)
-                    check[at] -= sign * own
+                at = _cells(d, part)[0]
+                count[at] -= sign
+                total[at] -= d * np.uint64(sign % 2**64)
+                check[at] -= sign * own
                 more, fewer = more + (sign > 0), fewer + (sign < 0)
                 break
         else:
@@ -241,4 +241,4 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
             yield _block(rows)
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_ranges(docs).mapInArrow(run, kinds)
+    return _in_ranges(docs).mapInArrow(lean(run), kinds)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import small_side, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: The transformed statistics and the least standard deviation that each is given.
@@ -140,7 +140,7 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame
     start = F.lit(0.0)
     for i, f in enumerate(FEATURES):
         start = start + F.pow((F.col(f) - F.get(f"p{i}", F.lit(1))) / scale[i], F.lit(2))
-    near = rows.join(marks, "key").withColumn("d", start)
+    near = rows.join(small_side(marks), "key").withColumn("d", start)
     fit = None
     for _ in range(steps):
         binned = near.groupBy("key", F.floor(8 * F.log2(F.col("d") + 1e-3)).alias("bin")).agg(*_sums())
@@ -150,7 +150,7 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame
         names = ["n", *(f"s{i}" for i in range(_N)), *(f"q{i}_{j}" for i, j in _PAIRS)]
         sums = nearest.groupBy("key").agg(*(F.sum(c).alias(c) for c in names), F.max("all").alias("all"))
         fit = stored(_factor(sums, consistency(_N, share)).join(sums.select("key", "all"), "key"), "covariances")
-        near = rows.join(fit, "key").withColumn("d", _distance())
+        near = rows.join(small_side(fit), "key").withColumn("d", _distance())
     return fit
 
 
@@ -168,9 +168,9 @@ def judge(docs: DataFrame, window: int = 8, share: float = 0.75, steps: int = 3,
     rows = stats.where(~F.col("base_failed")).select(F.explode(F.array("k0", "k1", "k2")).alias("key"), *FEATURES)
     fit = estimates(rows, share, steps).where(F.col("all") >= least).withColumn("d", F.lit(0))
     fits = F.struct(*(f"m{i}" for i in range(_N)), *(f"l{i}_{j}" for i, j in _PAIRS))
-    out = stats
+    out, side = stats, small_side(fit)
     for i in range(len(levels)):
-        out = out.join(fit.select(F.col("key").alias(f"k{i}"), fits.alias(f"f{i}")), f"k{i}", "left")
+        out = out.join(side.select(F.col("key").alias(f"k{i}"), fits.alias(f"f{i}")), f"k{i}", "left")
     out = out.withColumn("f", F.coalesce("f0", "f1", "f2")).select(*stats.columns, "f.*")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)

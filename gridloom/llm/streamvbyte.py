@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NULL_ID, id_bounds, range_of, stored, workspace
+from gridloom.llm.common import id_bounds, lean, NULL_ID, range_of, stored, workspace
 from gridloom.llm.tokens import encoder
 
 MAGIC = b"GLV1"
@@ -87,7 +87,7 @@ def token_table(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFr
                 ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in encoder(path, spaced).encode(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text")).mapInArrow(lean(run, keeps=True), "doc_id long, n long, ids binary")
 
 
 def _array(ids: bytes, n: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, spaced: bool = False, end
             yield close()
 
     bounds = id_bounds(tokens, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    coded = tokens.mapInArrow(recode, "doc_id long, n long, code binary").select(range_of(F.col("doc_id"), bounds).cast("long").alias("part"), "doc_id", "n", "code")
+    coded = tokens.mapInArrow(lean(recode), "doc_id long, n long, code binary").select(range_of(F.col("doc_id"), bounds).cast("long").alias("part"), "doc_id", "n", "code")
     ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "n", "code")
     ordered.mapInArrow(images, "part long, image long, skipped long, tokens long, image_bytes binary").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/images")
 
