@@ -38,6 +38,12 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that `stored` has left in the shared folder; frames that still read from it fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{workspace(spark)}/gridloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts(df: DataFrame, mb: float = 8.0) -> int:
     """Groups to deal df's rows into: its planned size over mb, but no fewer than the shuffle partitions."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

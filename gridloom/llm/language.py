@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import held
+from gridloom.llm.common import held, lean
 
 HIDDEN, LONG, EVIDENCE = 16, 24, 32
 
@@ -223,8 +223,8 @@ def fit(docs: DataFrame, per_language: int = 300, per_document: int = 100, steps
     return langs, train([bytes(r.word) for r in rows], label, np.array([r.n for r in rows], float), len(langs), steps)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], *keep: str) -> DataFrame:
-    """doc_id, lang_pred and score of every row, with the columns kept."""
+def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], *keep: str, memo: int = 400_000) -> DataFrame:
+    """doc_id, lang_pred and score of every row, with the columns kept; memo bounds the words a worker remembers."""
     langs, p = model
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not langs:
@@ -232,7 +232,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], *k
     mark = p["V"].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = held(("reader", mark), lambda: Reader(p))
+        reader = held(("reader", mark, memo), lambda: Reader(p, memo))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
@@ -244,4 +244,4 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], *k
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), *(b.column(3 + i) for i in range(len(keep)))], ["doc_id", "lang_pred", "score", *keep])
 
     kinds = "doc_id long, lang_pred string, score double" + "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"), letters.alias("_letters"), *keep).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"), letters.alias("_letters"), *keep).mapInArrow(lean(run, keeps=True), kinds)

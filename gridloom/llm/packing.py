@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
-from gridloom.llm.tokens import encoder
+from gridloom.llm.common import lean, stored
+from gridloom.llm.tokens import MEMO, encoder
 
 #: Tasks that share the numbering of one length.
 SALTS = 16
 
 
-def pieces(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 0, max_tokens: int = 2048, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 0, max_tokens: int = 2048, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's ids and end_id; the first piece takes the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 0, max
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
                 rows = []
-                for doc, ids in zip(b.column(0).to_pylist(), encoder(path, spaced).encode(b.column(1).to_pylist())):
+                for doc, ids in zip(b.column(0).to_pylist(), encoder(path, spaced, memo).encode(b.column(1).to_pylist())):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range((n - 1) % max_tokens + 1, n + 1, max_tokens)]
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 0, max
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(lean(run, keeps=True), kinds)
 
 
 def best_fit(histogram: dict[int, int], capacity: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 0.05, 0.05), score: str = "norm") -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -125,9 +125,9 @@ def pack(
     return out.select(*(ranked[c] for c in parts.columns if c != "_salt"), "sequence_id", "offset")
 
 
-def packed(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 0, max_tokens: int = 2048, with_ids: bool = False, **limits) -> DataFrame:
-    """The pieces of all documents with their places."""
-    return pack(stored(pieces(docs, path, spaced, end_id, max_tokens, with_ids), "pieces"), max_tokens, **limits)
+def packed(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 0, max_tokens: int = 2048, with_ids: bool = False, memo: int = MEMO, **limits) -> DataFrame:
+    """The pieces of all documents with their places; memo bounds what each worker remembers of words."""
+    return pack(stored(pieces(docs, path, spaced, end_id, max_tokens, with_ids, memo), "pieces"), max_tokens, **limits)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

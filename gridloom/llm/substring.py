@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NULL_ID, group_of, group_of_ids, narrow, pack, parts, runs, unpack
+from gridloom.llm.common import NULL_ID, group_of, group_of_ids, lean, narrow, pack, parts, runs, trim, unpack
 from gridloom.llm.words import window_hashes, word_hashes, words
 
 #: Perfect difference covers: every difference modulo the period is one of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 #: Anchors that a task gathers before it sends them.
-FLUSH = 600_000
+FLUSH = 400_000
 _BLOBS = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("blob", pa.binary())])
 
 
@@ -201,6 +201,8 @@ def _windows(width: int, span: int, n_buckets: int):
             out += _bucketed(ids[near], th[near], doc[once], pos[once], one[once], n_buckets, (one[once] // np.uint64(n_buckets) >> np.uint64(32)).astype("<u4"), two[once])
             if len(later):
                 out.append((int(one[later[0]] % np.uint64(n_buckets)), key[0].as_py(), _places(ids[near], th[near], doc[later], pos[later])))
+            del h, at, one, two, order, new, doc, pos, values
+            trim()
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -267,6 +269,8 @@ def _result(width: int, joined: bool, schema: pa.Schema):
             spans.append(_spans(gone))
             kept.append(b" ".join(x for x, g in zip(w, gone.tolist()) if not g) if joined else _cut(text, gone))
         cols = [docs.column(c).cast(schema.field(c).type) for c in docs.column_names if c != "_grp"]
+        del values
+        trim()
         cols += [pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.Table.from_arrays(cols, schema=schema)
 
@@ -289,7 +293,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, joined: bool = False, size_
     grouped = base.withColumn("_grp", group_of("_key", n)).drop("_key")
     flat = base.select("_key", F.col("text").cast("binary").alias("text"))
     blobs = "bucket int, grp int, blob binary"
-    sent = flat.mapInArrow(_anchors(width, period, n, n), blobs)
+    sent = flat.mapInArrow(lean(_anchors(width, period, n, n)), blobs)
     shared = sent.groupBy("bucket").applyInArrow(_shared(n), blobs).drop("bucket")
     left = grouped.groupBy("_grp")
     probes = left.cogroup(shared.groupBy("grp")).applyInArrow(_windows(width, span, n), blobs)

@@ -140,6 +140,10 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, spaced: bool) -> WordEncoder:
+#: Pieces that an encoder remembers if nothing else is said; about 200 bytes each.
+MEMO = 1_200_000
+
+
+def encoder(path: str, spaced: bool, memo: int = MEMO) -> WordEncoder:
     """One encoder for each Python worker."""
-    return held(("encoder", path, spaced), lambda: WordEncoder(path, spaced))
+    return held(("encoder", path, spaced, memo), lambda: WordEncoder(path, spaced, memo))
