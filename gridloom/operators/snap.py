@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.model import Grid, spine
+from gridloom.plans.ordering import numbered
 
 
 @dataclass(frozen=True)
@@ -76,9 +77,10 @@ def snap(points: DataFrame, lattice: Lattice = Lattice(), crop_from: bool = Fals
     if lattice.grid is not None and crop_from:
         points = crop(points, lattice.grid)
     g = target(points, lattice, crop_from, crop_g)
-    value = F.col("v") if "v" in points.columns else F.row_number().over(Window.orderBy("pt_id")).cast("double")
+    if "v" not in points.columns:
+        points = numbered(points, "pt_id", "_n").withColumn("v", F.col("_n").cast("double")).drop("_n")
     iy, jx = nearest(F.col("y"), g.y0, g.dy, g.ny), nearest(F.col("x"), g.x0, g.dx, g.nx)
-    put = points.select("pt_id", value.alias("v"), (g.ny - iy).cast("int").alias("i"), (jx + 1).cast("int").alias("j"), F.greatest(F.abs(F.col("y") - (g.y0 + iy * g.dy)), F.abs(F.col("x") - (g.x0 + jx * g.dx))).alias("off"))
+    put = points.select("pt_id", "v", (g.ny - iy).cast("int").alias("i"), (jx + 1).cast("int").alias("j"), F.greatest(F.abs(F.col("y") - (g.y0 + iy * g.dy)), F.abs(F.col("x") - (g.x0 + jx * g.dx))).alias("off"))
     # the first of a cell by a partial aggregate, so that points of a hot cell are combined before the shuffle
     first = put.groupBy("i", "j").agg(F.min_by("v", "pt_id").alias("v"), F.min("pt_id").alias("pt_id"), F.count("*").alias("n"), F.max("off").alias("off"))
     report = first.agg(F.sum("n").alias("n_points"), F.count("*").alias("n_cells"), (F.sum("n") - F.count("*")).alias("n_duplicates"), F.max("off").alias("max_distance"))

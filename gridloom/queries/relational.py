@@ -432,6 +432,12 @@ for _cf in (False, True):
         _snap_query(_cf, _cg)
 
 
+@query("jn2_order", f"with {T6}, p as (select *, row_number() over (order by pt_id) n from pts where y between 20 and 410 and x between 60 and 640) select cast(40 - {_iy('40', '20.0')} as int) i, cast({_jx('30', '60.0')} + 1 as int) j, min(n) + 0.0 v from p group by 1, 2")
+def _(spark, d):
+    """Points without values: a cell holds the order number of its first point."""
+    return snap.snap(t6(spark, d).drop("v"), snap.Lattice(grid=_target()), crop_from=True)[0].cells
+
+
 @query("jn2_dim", f"with {T6}, b as (select min(y) y0, (max(y) - min(y)) / 19 dy, min(x) x0, (max(x) - min(x)) / 9 dx from pts) select cast(20 - greatest(0, least(19, ceil((y - y0) / dy - 0.5))) as int) i, cast(greatest(0, least(9, ceil((x - x0) / dx - 0.5))) + 1 as int) j, round(arg_min(v, pt_id), 6) + 0.0 v from pts, b group by 1, 2")
 def _(spark, d):
     return snap.snap(t6(spark, d), snap.Lattice(dim=(20, 10)))[0].cells

@@ -206,6 +206,17 @@ def test_snap_modes(spark):
         snap.snap(pts.where("pt_id > 9"))
 
 
+def test_order_numbers(spark):
+    from gridloom.plans.ordering import numbered
+
+    keys = [int(k) for k in np.random.default_rng(0).permutation(500) * 3 - 40] + [5, 5]
+    df = spark.createDataFrame([(k,) for k in keys], "pt_id long").repartition(7)
+    for ranges in (1, 3, 16):
+        got = sorted((r["n"], r["pt_id"]) for r in numbered(df, "pt_id", "n", ranges).collect())
+        assert [n for n, _ in got] == list(range(1, 503)) and [k for _, k in got] == sorted(keys)
+    assert numbered(df.where("pt_id > 9999"), "pt_id", "n").count() == 0
+
+
 # -- variograms
 
 
