@@ -90,6 +90,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridloom.llm import urls
+    from gridloom.llm import substring, urls
 
-    return {"op1_urls": urls.sql()}
+    return {"op1_urls": urls.sql(), "op10_substring": substring.sql()}

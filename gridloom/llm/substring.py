@@ -303,3 +303,14 @@ def remove_repeats(docs: DataFrame, width: int = 20, joined: bool = False, size_
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return left.cogroup(named.groupBy("grp")).applyInArrow(_result(width, joined, arrow), schema)
+
+
+def sql(width: int = 20) -> str:
+    """DuckDB SQL for the digest of remove_repeats(joined=True) over documents, with doc_id unique."""
+    return rf"""with d as (select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] w from documents),
+ win as (select doc_id, i, array_to_string(w[i:i + {width - 1}], ' ') g from (select doc_id, w, unnest(range(1, len(w) - {width - 2})) i from d)),
+ dup as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) n from win) where n > 1),
+ gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + {width})) p from dup)),
+ word as (select doc_id, unnest(w) x, generate_subscripts(w, 1) p from d),
+ kept as (select word.doc_id, string_agg(x, ' ' order by word.p) t, count(*) n from word left join gone on gone.doc_id = word.doc_id and gone.p = word.p where gone.p is null group by word.doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(kept.n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id)"""

@@ -1,9 +1,5 @@
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-
 from gridloom.llm import substring
 from gridloom.llm.substring import COVERS, remove_repeats
 from gridloom.llm.words import window_hashes, word_hashes
@@ -67,13 +63,10 @@ def test_empty_table(nothing):
     assert remove_repeats(nothing).count() == 0
 
 
-def test_digest(spark, docs):
+def test_digest_matches_sql(spark, duck):
     from conftest import SF
 
     from gridloom.llm.queries import op10_substring
 
-    r = op10_substring(spark, SF).orderBy("doc_id").first()
-    t = docs.orderBy("doc_id").first().text
-    if r.n_removed == 0:
-        assert r.kept_sha256 == hashlib.sha256(b" ".join(t.encode().split())).hexdigest()
-    assert np.isfinite(r.n_words)
+    got = sorted(tuple(r) for r in op10_substring(spark, SF).collect())
+    assert got == sorted(duck.execute(substring.sql()).fetchall()) and sum(r[2] for r in got) > 0
