@@ -3,11 +3,9 @@
 Paths are cut into segments. Level by level, from the root of each host:
 
 * a segment that is a number, or a number before an extension, is generalised to `<n>` at once;
-* if a node has at least `fanout` different children and no child but a few holds much of it (mean pages a
-  child under `mean_pages`), its children are variable and become `*`;
-* otherwise each labelled child is compared with its siblings by a two-proportion z score of the bad share;
-  children that do not differ (|z| < `z`), and those with too few labels to tell, are merged into `*`; those
-  that do differ keep a branch of their own.
+* each labelled child is compared with its siblings by a two-proportion z score of the bad share, however many
+  children there are; those that differ (|z| >= `z`) keep a branch of their own, and the others, with those that
+  have too few labels to tell, are merged into `*`.
 
 Segments after `depth` levels become one `**`. Each template's labelled purity is the share of good pages,
 smoothed by its host's share (itself smoothed by the overall one); a template whose purity is under `purity`
@@ -49,21 +47,20 @@ def typed(segment: Column) -> Column:
     return F.regexp_replace(segment, r"^[0-9]+(\.[A-Za-z0-9]+)?$", "<n>$1")
 
 
-def templates(paths: DataFrame, depth: int = 4, fanout: int = 20, mean_pages: float = 20.0, z: float = 2.58, least: int = 20) -> DataFrame:
+def templates(paths: DataFrame, depth: int = 4, z: float = 2.58, least: int = 20) -> DataFrame:
     """paths (host, segs, pages, good, bad) with its template, a column of that name."""
     out = paths.withColumn("template", F.lit(""))
     for level in range(depth):
         out = out.withColumn("seg", F.get("segs", F.lit(level)))
         child = out.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("pages").alias("c"), F.sum("good").alias("cg"), F.sum("bad").alias("cb"))
         # sums by node, joined to its children: both are partial sums before the shuffle
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("c").alias("p"), F.sum("cg").alias("pg"), F.sum("cb").alias("pb"))
+        node = child.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("cg").alias("pg"), F.sum("cb").alias("pb"))
         both = child.join(node, ["host", "template"])
         n1, n2 = F.col("cg") + F.col("cb"), F.col("pg") + F.col("pb") - F.col("cg") - F.col("cb")
         share = F.col("pb") / (n1 + n2)
         spread = share * (1 - share) * (1 / n1 + 1 / n2)
         differs = F.when((n1 >= least) & (n2 >= least) & (F.col("pb") > 0) & (F.col("pg") > 0), F.pow(F.col("cb") / n1 - (F.col("pb") - F.col("cb")) / n2, F.lit(2)) >= z * z * spread).otherwise(False)
-        variable = (F.col("kinds") >= fanout) & (F.col("p") < mean_pages * F.col("kinds"))
-        name = F.when(F.col("kinds") == 1, F.col("seg")).when(~variable & differs, F.col("seg")).otherwise("*")
+        name = F.when(F.col("kinds") == 1, F.col("seg")).when(differs, F.col("seg")).otherwise("*")
         step = both.select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("grown"))
         grown = out.join(step, ["host", "template", "seg"], "left").withColumn("template", F.coalesce("grown", "template")).drop("grown", "seg")
         out = stored(grown, "templates")  # each level reads the one before twice
