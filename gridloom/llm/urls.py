@@ -7,7 +7,9 @@ Paths are cut into segments. Level by level, from the root of each host:
   children there are; those that differ (|z| >= `z`) keep a branch of their own, and the others, with those that
   have too few labels to tell, are merged into `*`.
 
-Segments after `depth` levels become one `**`. Each template's labelled purity is the share of good pages,
+After `depth` levels the tree goes on for as long as a node has labels enough to split, to any depth; what follows
+the last branch that differs becomes one `**`. `sql` stops at `depth` and merges all children of a node with many
+small ones, so it agrees where no path is longer and no such node has a child that differs. Each template's labelled purity is the share of good pages,
 smoothed by its host's share (itself smoothed by the overall one); a template whose purity is under `purity`
 is rejected. All pages are first counted by host and segments, so everything after works on distinct paths.
 
@@ -47,24 +49,42 @@ def typed(segment: Column) -> Column:
     return F.regexp_replace(segment, r"^[0-9]+(\.[A-Za-z0-9]+)?$", "<n>$1")
 
 
+def _children(rows: DataFrame, z: float, least: int) -> DataFrame:
+    """(host, template, seg) of the children of each node, with kinds, differs and may_split (enough labels of both sorts)."""
+    child = rows.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("pages").alias("c"), F.sum("good").alias("cg"), F.sum("bad").alias("cb"))
+    # sums by node, joined to its children: both are partial sums before the shuffle
+    node = child.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("cg").alias("pg"), F.sum("cb").alias("pb"))
+    both = child.join(node, ["host", "template"])
+    n1, n2 = F.col("cg") + F.col("cb"), F.col("pg") + F.col("pb") - F.col("cg") - F.col("cb")
+    share = F.col("pb") / (n1 + n2)
+    spread = share * (1 - share) * (1 / n1 + 1 / n2)
+    differs = F.when((n1 >= least) & (n2 >= least) & (F.col("pb") > 0) & (F.col("pg") > 0), F.pow(F.col("cb") / n1 - (F.col("pb") - F.col("cb")) / n2, F.lit(2)) >= z * z * spread).otherwise(False)
+    may_split = (F.col("pb") > 0) & (F.col("pg") > 0) & (n1 + n2 >= 2 * least)
+    return both.select("host", "template", "seg", "kinds", differs.alias("differs"), may_split.alias("may_split"))
+
+
 def templates(paths: DataFrame, depth: int = 4, z: float = 2.58, least: int = 20) -> DataFrame:
     """paths (host, segs, pages, good, bad) with its template, a column of that name."""
     out = paths.withColumn("template", F.lit(""))
     for level in range(depth):
         out = out.withColumn("seg", F.get("segs", F.lit(level)))
-        child = out.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("pages").alias("c"), F.sum("good").alias("cg"), F.sum("bad").alias("cb"))
-        # sums by node, joined to its children: both are partial sums before the shuffle
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("cg").alias("pg"), F.sum("cb").alias("pb"))
-        both = child.join(node, ["host", "template"])
-        n1, n2 = F.col("cg") + F.col("cb"), F.col("pg") + F.col("pb") - F.col("cg") - F.col("cb")
-        share = F.col("pb") / (n1 + n2)
-        spread = share * (1 - share) * (1 / n1 + 1 / n2)
-        differs = F.when((n1 >= least) & (n2 >= least) & (F.col("pb") > 0) & (F.col("pg") > 0), F.pow(F.col("cb") / n1 - (F.col("pb") - F.col("cb")) / n2, F.lit(2)) >= z * z * spread).otherwise(False)
-        name = F.when(F.col("kinds") == 1, F.col("seg")).when(differs, F.col("seg")).otherwise("*")
-        step = both.select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("grown"))
+        name = F.when((F.col("kinds") == 1) | F.col("differs"), F.col("seg")).otherwise("*")
+        step = _children(out, z, least).select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("grown"))
         grown = out.join(step, ["host", "template", "seg"], "left").withColumn("template", F.coalesce("grown", "template")).drop("grown", "seg")
         out = stored(grown, "templates")  # each level reads the one before twice
-    return out.withColumn("template", F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    # below, names are kept up to the last branch that differs; a path that ends is a child of its own, an empty segment
+    out, level = out.withColumns({"cut": F.col("template"), "whole": F.lit(False), "open": F.size("segs") > depth}), depth
+    while out.where(F.col("open") & (F.size("segs") > level)).limit(1).count():
+        out = out.withColumn("seg", F.when(F.col("open"), F.coalesce(F.get("segs", F.lit(level)), F.lit(""))))
+        ends = F.col("seg") == ""
+        joined = out.join(_children(out, z, least), ["host", "template", "seg"], "left")
+        name = F.when((F.col("kinds") == 1) | F.col("differs"), F.col("seg")).otherwise("*")
+        grown = F.when(~F.col("open") | ends, F.col("template")).otherwise(F.concat("template", F.lit("/"), name))
+        differs = F.coalesce("differs", F.lit(False))
+        new = joined.select("host", "segs", "pages", "good", "bad", grown.alias("template"), F.when(differs, grown).otherwise(F.col("cut")).alias("cut"), (F.col("whole") | (differs & F.coalesce(ends, F.lit(False)))).alias("whole"), (F.col("open") & F.coalesce(F.col("may_split") & ~ends, F.lit(False))).alias("open"))
+        out, level = stored(new, "templates"), level + 1
+    deep = F.when(F.col("whole"), F.col("cut")).otherwise(F.concat("cut", F.lit("/**")))
+    return out.withColumn("template", F.when(F.size("segs") > depth, deep).otherwise(F.col("template"))).drop("cut", "whole", "open")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = (), purity: float = 0.5, weight: float = 4.0, **tree) -> DataFrame:
