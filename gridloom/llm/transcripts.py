@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Roles, and the speaker names that mark them.
@@ -171,6 +171,7 @@ def parse(rows: DataFrame, block: int = 64) -> DataFrame:
             role, first = STATES[s]
             if first or not out:
                 out.append([role, [], bool(first)])
+            if first:
                 line = line[marker(line)[1] :]
             out[-1][1].append(line)
         n = len(out)
@@ -188,11 +189,19 @@ def parse(rows: DataFrame, block: int = 64) -> DataFrame:
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """(conv_id, block, n_turns, n_lines, roles, rendered): the canonical text of each block's turns."""
-    one = F.concat(F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))).otherwise(""), "text", F.lit("\n<|end|>\n"))
+    """(conv_id, block, n_turns, n_lines, roles, rendered): the canonical text of each block's turns.
+
+    A turn that goes on in the next block has no end marker here, so a conversation's blocks in order, joined, are
+    its canonical text whatever the size of a block.
+    """
+    one = F.concat(F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))).otherwise(""), "text", F.lit("\n"))
     part = turns.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("nth", one.alias("t"), "role", "opens", "n_lines"))).alias("p"))
+    # a row a block, without texts: whether the block after it begins inside its last turn
+    begins = turns.groupBy("conv_id", "block").agg(F.min_by("opens", "nth").alias("opens"))
+    after = begins.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.lead("opens").over(Window.partitionBy("conv_id").orderBy("block")), F.lit(True)).alias("ends"))
+    part = part.join(after, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
     letters = F.array_join(F.transform(F.filter("p", lambda x: x["opens"]), lambda x: F.upper(F.substring(x["role"], 1, 1))), "")
-    return part.select("conv_id", "block", F.size(F.filter("p", lambda x: x["opens"])).alias("n_turns"), F.aggregate("p.n_lines", F.lit(0), lambda a, x: a + x).alias("n_lines"), letters.alias("roles"), F.array_join("p.t", "").alias("rendered"))
+    return part.select("conv_id", "block", F.size(F.filter("p", lambda x: x["opens"])).alias("n_turns"), F.aggregate("p.n_lines", F.lit(0), lambda a, x: a + x).alias("n_lines"), letters.alias("roles"), F.concat(F.array_join("p.t", "<|end|>\n"), F.when(F.col("ends"), "<|end|>\n").otherwise("")).alias("rendered"))
 
 
 def transcripts(conversations: DataFrame, styles: int = 6) -> DataFrame:
