@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import struct
 import tempfile
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,32 +20,48 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: This process's tables in the shared folder.
+_RUN = f"run-{uuid.uuid4().hex}"
+
+
 def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine, one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = tempfile.mkdtemp(prefix="gridloom-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    path = f"{workspace(df.sparkSession)}/gridloom/{label}-{uuid.uuid4().hex}"
+    path = f"{workspace(df.sparkSession)}/gridloom/{_RUN}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all that `stored` has left in the shared folder; frames that still read from it fail afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{workspace(spark)}/gridloom")
+    """Deletes the tables that this process has stored, and no others'; frames that still read from them fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{workspace(spark)}/gridloom/{_RUN}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context else None
+    if spark is not None:
+        try:
+            clear(spark)
+        except Exception:  # noqa: BLE001  the session is going away
+            pass
+
+
 def parts(df: DataFrame, mb: float = 8.0) -> int:
     """Groups to deal df's rows into: its planned size over mb, but no fewer than the shuffle partitions."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -98,6 +116,11 @@ def runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(keys[a]), a, b
 
 
+def ranges(df: DataFrame, mb: float = 16.0) -> int:
+    """Ranges to deal df's rows into: by its planned size, but four for each shuffle partition at least."""
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(df, mb))
+
+
 def id_bounds(ids: DataFrame, n: int) -> list[int]:
     """The least id of each of up to n ranges with about as many rows each, from the column doc_id alone."""
     first = ids.select("doc_id").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least"))
@@ -121,6 +144,19 @@ def small_side(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def meet(rows: DataFrame, side: DataFrame, on: str, weight: str, how: str = "inner", few: int = 20_000) -> DataFrame:
+    """rows joined to side, whose column `weight` says how many rows each of its distinct keys has.
+
+    A side of few rows goes to every task. Of a larger one only the keys with over a ten-thousandth of all rows do (ten
+    thousand at most); the other keys are small and meet by key, so no key lands in one task.
+    """
+    if side.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(side.drop(weight)), on, how)
+    heavy = F.col(weight) > (side.agg(F.sum(weight)).first()[0] or 0) / 10_000
+    hot, rest = F.broadcast(side.where(heavy).drop(weight)), side.where(~heavy).drop(weight)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on, how))
+
+
 def trim() -> None:
     """Gives freed memory back to the system: workers idle beside a stage that needs none of theirs."""
     try:
