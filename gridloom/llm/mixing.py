@@ -6,11 +6,13 @@ targets. A document's weight is its cell's factor; its probability is `min(1, sc
 that gives the wanted number of tokens (found on the cells), and it is kept if a hash of its id and text falls
 below that probability, so a lost task chooses the same documents again.
 
-Cells are combinations of categories, not documents. Up to `driver_cells` of them are fitted on the driver;
-more are fitted as a table in the shared folder by the same rounds. Targets that are missing for a category
+Cells are combinations of categories, not documents. Up to `driver_cells` of them are fitted on the driver and sent
+to the documents; more are fitted as a table in the shared folder by the same rounds, and of them only the hottest (with
+over a ten-thousandth of all documents, so ten thousand at most) are sent, so that no key of the join left has more. Targets that are missing for a category
 that has tokens count as zero if `targets` names the dimension; targets for absent categories are spread over
 the present ones in proportion. A null category is one of its own, written as None in the targets. A null text
-has no tokens: it gets its cell's weight, and is kept by the same rule. Equal rows are kept or dropped together.
+has no tokens: it gets its cell's weight, and is kept by the same rule; a null number of tokens is 0. Equal rows are kept
+or dropped together. Columns of documents called weight, probability or kept give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import meet, stored
 
 Targets = dict[str, dict[str | None, float]]
 _NULL = "\x00"
@@ -98,67 +100,78 @@ def _rake_table(cells: DataFrame, targets: dict[str, dict[str, float]], rounds:
     return stored(cells, "cells")
 
 
-def weights(docs: DataFrame, targets: Targets, tokens: str = "n_tokens", rounds: int = 100, tolerance: float = 1e-9, driver_cells: int = 100_000) -> DataFrame:
-    """(dimensions as strings, null as \\x00, tokens, documents, factor) of every cell."""
-    want = _normal(targets)
-    dims = list(want)
-    cells = stored(docs.groupBy(*(F.coalesce(F.col(d).cast("string"), F.lit(_NULL)).alias(d) for d in dims)).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("documents")), "cells")
+def _key(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(_NULL))
+
+
+def tally(docs: DataFrame, dims: list[str], tokens: str = "n_tokens") -> DataFrame:
+    """(k0, k1, ... for the dimensions as strings, null as \\x00, tokens, documents) of every cell, as a stored table."""
+    counts = [F.sum(F.coalesce(F.col(tokens), F.lit(0))).alias("tokens"), F.count("*").alias("documents")]
+    return stored(docs.groupBy(*(_key(d).alias(f"k{i}") for i, d in enumerate(dims))).agg(*counts), "cells")
+
+
+def weights(cells: DataFrame, targets: Targets, rounds: int = 100, tolerance: float = 1e-9, driver_cells: int = 100_000) -> DataFrame:
+    """The cells of `tally` with their factor."""
+    want = {f"k{i}": t for i, t in enumerate(_normal(targets).values())}
     if cells.count() > driver_cells:
         return _rake_table(cells, want, rounds, tolerance)
-    rows = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in dims))
+    rows = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in want))
     codes, goals = [], []
-    for d in dims:
-        names = sorted({r[d] for r in rows})
-        codes.append(np.array([names.index(r[d]) for r in rows], np.int64))
-        goals.append(np.array([want[d].get(n, 0.0) for n in names]))
+    for d, t in want.items():
+        names = {n: i for i, n in enumerate(sorted({r[d] for r in rows}))}
+        codes.append(np.array([names[r[d]] for r in rows], np.int64))
+        goals.append(np.array([t.get(n, 0.0) for n in names]))
     factor = rake(codes, np.array([float(r.tokens) for r in rows]), goals, rounds, tolerance) if rows else []
-    kinds = "".join(f"`{d}` string, " for d in dims) + "tokens long, documents long, factor double"
-    return docs.sparkSession.createDataFrame([(*r, float(f)) for r, f in zip(rows, factor)], kinds)
+    kinds = "".join(f"{d} string, " for d in want) + "tokens long, documents long, factor double"
+    return cells.sparkSession.createDataFrame([(*r, float(f)) for r, f in zip(rows, factor)], kinds)
 
 
 def _scale(cells: DataFrame, budget: float) -> float:
-    """The scale at which the expected tokens, sum of tokens * min(1, scale * factor), reach the budget.
+    """The scale at which the expected tokens, the sum of tokens * min(1, scale * factor), reach the budget.
 
-    Exact: along rising factors the sum is piecewise linear in the scale. Only a bounded histogram of factors
-    leaves the cells, in steps of a thousandth.
+    That sum is concave and piecewise linear in the scale, so Newton's steps from below end at the scale itself.
     """
-    step = F.round(F.log("factor") * 1000).cast("long")
-    rows = sorted(cells.where("factor > 0").groupBy(step.alias("k")).agg(F.sum("tokens").alias("n")).collect())
-    f, n = np.exp(np.array([r.k for r in rows], float) / 1000), np.array([float(r.n) for r in rows])
-    if not len(f) or n.sum() <= budget:
+    n, f = F.col("tokens"), F.col("factor")
+    total, slope = cells.where("factor > 0").agg(F.sum(n), F.sum(n * f)).first()
+    if not total or total <= budget or not slope:
         return float("inf")
-    low, high = 0.0, 1 / f.min()
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (n * np.minimum(1, mid * f)).sum() < budget else (low, mid)
-    return high
+    scale = budget / slope
+    while True:
+        full = f * scale >= 1
+        done, slope = cells.where("factor > 0").agg(F.sum(F.when(full, n).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(n * f))).first()
+        new = (budget - done) / slope if slope > 0 else scale
+        if new <= scale * (1 + 1e-12):
+            return scale
+        scale = new
 
 
-def mix(docs: DataFrame, targets: Targets, tokens: str = "n_tokens", budget_share: float | None = None, seed: int = 7, **fit) -> DataFrame:
-    """docs with weight, probability and kept.
+def mix(docs: DataFrame, targets: Targets, tokens: str = "n_tokens", budget_share: float | None = None, seed: int = 7, by: tuple[str, ...] = ("doc_id", "text"), cells: DataFrame | None = None, driver_cells: int = 100_000, **fit) -> DataFrame:
+    """docs with weight, probability and kept; a document's draw is a hash of the columns `by`.
 
     ``budget_share``: the share of all tokens to keep; without it, the largest at which every probability is at
-    most one, so that the kept tokens meet the targets in expectation.
+    most one, so that the kept tokens meet the targets in expectation. ``cells``: the `tally` of docs, if it is known.
     """
     dims = list(targets)
-    cells = weights(docs, targets, tokens, **fit)
+    cells = weights(tally(docs, dims, tokens) if cells is None else cells, targets, driver_cells=driver_cells, **fit)
     if budget_share is None:
         top = cells.where("documents > 0").agg(F.max("factor")).first()[0]
         scale = 1 / top if top else 0.0
     else:
         scale = _scale(cells, budget_share * (cells.agg(F.sum("tokens")).first()[0] or 0))
     chance = F.when(F.col("factor") > 0, F.least(F.lit(1.0), F.col("factor") * scale)).otherwise(0.0)
-    keyed = docs.withColumns({f"_k{i}": F.coalesce(F.col(d).cast("string"), F.lit(_NULL)) for i, d in enumerate(dims)})
-    side = cells.select(*(F.col(d).alias(f"_k{i}") for i, d in enumerate(dims)), F.col("factor").alias("weight"), chance.alias("probability"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) / float(1 << 52)
-    return keyed.join(side, [f"_k{i}" for i in range(len(dims))], "left").withColumn("kept", draw < F.col("probability")).drop(*(f"_k{i}" for i in range(len(dims))))
+    side = cells.select(F.struct(*(f"k{i}" for i in range(len(dims)))).alias("_cell"), F.struct(F.col("factor").alias("weight"), chance.alias("probability")).alias("_mix"), "documents")
+    draw = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 52)) / float(1 << 52)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.struct(*(_key(d).alias(f"k{i}") for i, d in enumerate(dims))).alias("_cell"), draw.alias("_draw"))
+    joined = meet(rows, side, "_cell", "documents", "left", driver_cells)
+    own = ("weight", "probability", "kept")
+    return joined.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in own), F.col("_mix.weight").alias("weight"), F.col("_mix.probability").alias("probability"), (F.col("_draw") < F.col("_mix.probability")).alias("kept"))
 
 
-def natural(docs: DataFrame, dims: list[str], temperature: float, tokens: str = "n_tokens") -> Targets:
-    """Targets from the token shares of docs themselves, tempered; one row a category comes to the driver."""
+def natural(cells: DataFrame, dims: list[str], temperature: float) -> Targets:
+    """Targets from the token shares of the cells of `tally`, tempered; one row a category comes to the driver."""
     out: Targets = {}
-    for d in dims:
-        rows = docs.groupBy(F.col(d).cast("string").alias(d)).agg(F.sum(tokens).alias("n")).collect()
-        total = sum(r.n for r in rows) or 1
-        out[d] = tempered({r[d]: r.n / total for r in rows}, temperature)
+    for i, d in enumerate(dims):
+        rows = cells.groupBy(f"k{i}").agg(F.sum("tokens")).collect()
+        total = sum(n for _, n in rows) or 1
+        out[d] = tempered({None if k == _NULL else k: n / total for k, n in rows}, temperature)
     return out

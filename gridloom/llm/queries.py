@@ -27,10 +27,13 @@ def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm import mixing
+    from gridloom.llm.common import stored
 
-    docs = _docs(spark, sf_dir)
-    rows = docs.select("doc_id", "text", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens"))
-    mixed = mixing.mix(rows, mixing.natural(rows, ["source", "lang", "topic"], temperature=1.5), budget_share=0.5)
+    text, dims = F.col("text"), ["source", "lang", "topic"]
+    # the texts are read once; numbers, categories and a hash of each go on
+    rows = stored(_docs(spark, sf_dir).select("doc_id", F.xxhash64("text").alias("text_hash"), "source", "lang", mixing.topic(text).alias("topic"), mixing.n_tokens(text).alias("n_tokens")), "mixed")
+    cells = mixing.tally(rows, dims)
+    mixed = mixing.mix(rows, mixing.natural(cells, dims, temperature=1.5), budget_share=0.5, by=("doc_id", "text_hash"), cells=cells)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
