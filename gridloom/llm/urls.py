@@ -3,13 +3,18 @@
 Paths are cut into segments. Level by level, from the root of each host:
 
 * a segment that is a number, or a number before an extension, is generalised to `<n>` at once;
-* each labelled child is compared with its siblings by a two-proportion z score of the bad share, however many
-  children there are; those that differ (|z| >= `z`) keep a branch of their own, and the others, with those that
-  have too few labels to tell, are merged into `*`.
+* a node's children that have `least` labels are sorted by their share of bad pages, and those with fewer labels are
+  pooled as one; from the cleanest on, each is merged with the branch before it unless a two-proportion z score tells
+  their shares apart (|z| >= `z`). So children that are alike share a branch, wherever their shares lie, and children
+  that differ do not, however many siblings they have;
+* a branch of one child keeps its name; the branch with the pooled children, or that of all, is `*`; others are `*1`,
+  `*2`, ... from the cleanest on.
+
+Shares are rounded down to 1/64 for this, so a node has 65 groups of children at most, whatever its size.
 
 After `depth` levels the tree goes on for as long as a node has labels enough to split, to any depth; what follows
-the last branch that differs becomes one `**`. `sql` stops at `depth` and merges all children of a node with many
-small ones, so it agrees where no path is longer and no such node has a child that differs. Each template's labelled purity is the share of good pages,
+the last node with several branches becomes one `**`. `sql` stops at `depth`, so it agrees where no path is longer.
+Each template's labelled purity is the share of good pages,
 smoothed by its host's share (itself smoothed by the overall one); a template whose purity is under `purity`
 is rejected. All pages are first counted by host and segments, so everything after works on distinct paths.
 
@@ -49,18 +54,47 @@ def typed(segment: Column) -> Column:
     return F.regexp_replace(segment, r"^[0-9]+(\.[A-Za-z0-9]+)?$", "<n>$1")
 
 
+BINS = 64
+
+
 def _children(rows: DataFrame, z: float, least: int) -> DataFrame:
-    """(host, template, seg) of the children of each node, with kinds, differs and may_split (enough labels of both sorts)."""
-    child = rows.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("pages").alias("c"), F.sum("good").alias("cg"), F.sum("bad").alias("cb"))
-    # sums by node, joined to its children: both are partial sums before the shuffle
-    node = child.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("cg").alias("pg"), F.sum("cb").alias("pb"))
-    both = child.join(node, ["host", "template"])
-    n1, n2 = F.col("cg") + F.col("cb"), F.col("pg") + F.col("pb") - F.col("cg") - F.col("cb")
-    share = F.col("pb") / (n1 + n2)
-    spread = share * (1 - share) * (1 / n1 + 1 / n2)
-    differs = F.when((n1 >= least) & (n2 >= least) & (F.col("pb") > 0) & (F.col("pg") > 0), F.pow(F.col("cb") / n1 - (F.col("pb") - F.col("cb")) / n2, F.lit(2)) >= z * z * spread).otherwise(False)
-    may_split = (F.col("pb") > 0) & (F.col("pg") > 0) & (n1 + n2 >= 2 * least)
-    return both.select("host", "template", "seg", "kinds", differs.alias("differs"), may_split.alias("may_split"))
+    """(host, template, seg) of the children of each node, with name, kinds, splits (the node has several branches) and may_split (labels enough)."""
+    node = ["host", "template"]
+    child = rows.where("seg is not null").groupBy(*node, "seg").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    known = F.col("g") + F.col("b") >= least
+    # children with few labels are one item, -1 for now; the others go by their share of bad pages
+    child = child.withColumn("bin", F.when(known, F.floor(BINS * F.col("b") / (F.col("g") + F.col("b")))).otherwise(-1).cast("int"))
+    item = child.groupBy(*node, "bin").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.count("*").alias("kinds"))
+    rest, n = F.col("bin") == -1, F.col("g") + F.col("b")
+    order = F.when(rest & (n > 0), BINS * F.col("b") / n).otherwise(F.col("bin")).cast("double")
+    # pooled children without labels enough join the cleanest branch
+    one = F.struct(order.alias("at"), "bin", "kinds", "g", "b", (rest & (n < least)).alias("few"))
+    nodes = item.groupBy(*node).agg(F.array_sort(F.collect_list(one)).alias("items"), F.sum("kinds").alias("all"), F.sum("g").alias("pg"), F.sum("b").alias("pb"))  # 66 items at most
+
+    def step(a: Column, x: Column) -> Column:
+        n1, n2 = a["g"] + a["b"], x["g"] + x["b"]
+        share = (a["b"] + x["b"]) / (n1 + n2)
+        far = F.pow(a["b"] / n1 - x["b"] / n2, F.lit(2)) >= z * z * share * (1 - share) * (1 / n1 + 1 / n2)
+        apart = F.coalesce((n1 >= least) & (n2 >= least) & ~x["few"] & (share > 0) & (share < 1) & far, F.lit(False))
+        k = a["k"] + apart.cast("int")
+        return F.struct(F.when(apart, x["g"]).otherwise(a["g"] + x["g"]).alias("g"), F.when(apart, x["b"]).otherwise(a["b"] + x["b"]).alias("b"), k.alias("k"), F.concat(a["ks"], F.array(k)).alias("ks"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("ks"))
+    nodes = nodes.withColumn("ks", F.aggregate("items", zero, step)["ks"])
+    branch = F.transform("items", lambda x, i: F.struct(x["bin"].alias("bin"), x["kinds"].alias("kinds"), F.get("ks", i).alias("k")))
+    nodes = nodes.select(*node, "all", "pg", "pb", branch.alias("branch"))
+    many = F.array_max("branch.k") > 0
+    may_split = (F.col("pb") > 0) & (F.col("pg") > 0) & (F.col("pg") + F.col("pb") >= 2 * least)
+
+    def name(x: Column) -> Column:
+        mates = F.filter("branch", lambda y: y["k"] == x["k"])
+        size = F.aggregate(mates, F.lit(0).cast("long"), lambda a, y: a + y["kinds"])
+        open_ = F.exists(mates, lambda y: y["bin"] == -1) | ~many
+        return F.when(size == 1, F.lit(None).cast("string")).when(open_, "*").otherwise(F.concat(F.lit("*"), x["k"].cast("string")))
+
+    named = nodes.select(*node, F.col("all").alias("kinds"), many.alias("splits"), may_split.alias("may_split"), F.explode(F.transform("branch", lambda x: F.struct(x["bin"].alias("bin"), name(x).alias("name")))).alias("x"))
+    both = child.join(named.select(*node, "kinds", "splits", "may_split", F.col("x.bin").alias("bin"), F.col("x.name").alias("name")), [*node, "bin"])
+    return both.select(*node, "seg", "kinds", F.coalesce("name", "seg").alias("name"), "splits", "may_split")
 
 
 def templates(paths: DataFrame, depth: int = 4, z: float = 2.58, least: int = 20) -> DataFrame:
@@ -68,20 +102,18 @@ def templates(paths: DataFrame, depth: int = 4, z: float = 2.58, least: int = 20
     out = paths.withColumn("template", F.lit(""))
     for level in range(depth):
         out = out.withColumn("seg", F.get("segs", F.lit(level)))
-        name = F.when((F.col("kinds") == 1) | F.col("differs"), F.col("seg")).otherwise("*")
-        step = _children(out, z, least).select("host", "template", "seg", F.concat("template", F.lit("/"), name).alias("grown"))
+        step = _children(out, z, least).select("host", "template", "seg", F.concat("template", F.lit("/"), "name").alias("grown"))
         grown = out.join(step, ["host", "template", "seg"], "left").withColumn("template", F.coalesce("grown", "template")).drop("grown", "seg")
         out = stored(grown, "templates")  # each level reads the one before twice
-    # below, names are kept up to the last branch that differs; a path that ends is a child of its own, an empty segment
+    # below, names are kept up to the last node that splits; a path that ends is a child of its own, an empty segment
     out, level = out.withColumns({"cut": F.col("template"), "whole": F.lit(False), "open": F.size("segs") > depth}), depth
     while out.where(F.col("open") & (F.size("segs") > level)).limit(1).count():
         out = out.withColumn("seg", F.when(F.col("open"), F.coalesce(F.get("segs", F.lit(level)), F.lit(""))))
         ends = F.col("seg") == ""
         joined = out.join(_children(out, z, least), ["host", "template", "seg"], "left")
-        name = F.when((F.col("kinds") == 1) | F.col("differs"), F.col("seg")).otherwise("*")
-        grown = F.when(~F.col("open") | ends, F.col("template")).otherwise(F.concat("template", F.lit("/"), name))
-        differs = F.coalesce("differs", F.lit(False))
-        new = joined.select("host", "segs", "pages", "good", "bad", grown.alias("template"), F.when(differs, grown).otherwise(F.col("cut")).alias("cut"), (F.col("whole") | (differs & F.coalesce(ends, F.lit(False)))).alias("whole"), (F.col("open") & F.coalesce(F.col("may_split") & ~ends, F.lit(False))).alias("open"))
+        grown = F.when(~F.col("open") | ends, F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
+        splits = F.coalesce("splits", F.lit(False))
+        new = joined.select("host", "segs", "pages", "good", "bad", grown.alias("template"), F.when(splits, grown).otherwise(F.col("cut")).alias("cut"), (F.col("whole") | (splits & F.coalesce(ends, F.lit(False)))).alias("whole"), (F.col("open") & F.coalesce(F.col("may_split") & ~ends, F.lit(False))).alias("open"))
         out, level = stored(new, "templates"), level + 1
     deep = F.when(F.col("whole"), F.col("cut")).otherwise(F.concat("cut", F.lit("/**")))
     return out.withColumn("template", F.when(F.size("segs") > depth, deep).otherwise(F.col("template"))).drop("cut", "whole", "open")
@@ -125,7 +157,7 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
-def sql(rules: list[tuple[str, str, str]] = RULES, purity: float = 0.5, weight: float = 4.0, depth: int = 4, fanout: int = 20, mean_pages: float = 20.0, z: float = 2.58, least: int = 20) -> str:
+def sql(rules: list[tuple[str, str, str]] = RULES, purity: float = 0.5, weight: float = 4.0, depth: int = 4, z: float = 2.58, least: int = 20) -> str:
     """DuckDB SQL for judge() over the tables pages and labels."""
     ctes = [
         r"""u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
@@ -137,12 +169,20 @@ def sql(rules: list[tuple[str, str, str]] = RULES, purity: float = 0.5, weight:
  t0 as (select host, segs, '' as template, count(*) pages, count(*) filter (where bad = false) good, count(*) filter (where bad) bad from pg left join kn using (page_id) group by host, segs)"""
     ]
     for k in range(depth):
-        ctes.append(f"""c{k} as (select host, template, segs[{k + 1}] seg, sum(pages) c, sum(good) cg, sum(bad) cb from t{k} where len(segs) > {k} group by all),
- n{k} as (select host, template, count(*) kinds, sum(c) p, sum(cg) pg, sum(cb) pb from c{k} group by all),
- s{k} as (select host, template, seg, template || '/' || case when kinds = 1 then seg
-  when not (kinds >= {fanout} and p < {mean_pages} * kinds) and cg + cb >= {least} and pg + pb - cg - cb >= {least} and pb > 0 and pg > 0
-   and pow(cb / (cg + cb) - (pb - cb) / (pg + pb - cg - cb), 2) >= {z * z} * (pb / (pg + pb) * (1 - pb / (pg + pb)) * (1 / (cg + cb) + 1 / (pg + pb - cg - cb)))
-  then seg else '*' end grown from c{k} join n{k} using (host, template)),
+        n1, n2, share = "(a.g + a.b)", "(x.g + x.b)", "((a.b + x.b) / (a.g + a.b + x.g + x.b))"
+        apart = f"coalesce({n1} >= {least} and {n2} >= {least} and not x.few and {share} > 0 and {share} < 1 and pow(a.b / {n1} - x.b / {n2}, 2) >= {z * z} * {share} * (1 - {share}) * (1 / {n1} + 1 / {n2}), false)"
+        ctes.append(f"""c{k} as (select *, case when g + b >= {least} then cast(floor({BINS} * b / (g + b)) as int) else -1 end bin
+  from (select host, template, segs[{k + 1}] seg, sum(good)::bigint g, sum(bad)::bigint b from t{k} where len(segs) > {k} group by all)),
+ i{k} as (select host, template, bin, sum(g)::bigint g, sum(b)::bigint b, count(*) kinds from c{k} group by all),
+ l{k} as (select host, template, sum(kinds) kinds, list({{'bin': bin, 'kinds': kinds, 'g': g, 'b': b, 'few': bin = -1 and g + b < {least}, 'k': 0, 'ks': [0]}}
+  order by case when bin = -1 and g + b > 0 then {BINS} * b / (g + b) else bin end, bin) items from i{k} group by all),
+ r{k} as (select host, template, kinds, items, list_reduce(items, lambda a, x: case when {apart}
+  then {{'bin': 0, 'kinds': 0, 'g': x.g, 'b': x.b, 'few': false, 'k': a.k + 1, 'ks': list_append(a.ks, a.k + 1)}}
+  else {{'bin': 0, 'kinds': 0, 'g': a.g + x.g, 'b': a.b + x.b, 'few': false, 'k': a.k, 'ks': list_append(a.ks, a.k)}} end) r from l{k}),
+ e{k} as (select host, template, r.k > 0 many, unnest(items).bin bin, unnest(items).kinds kinds, unnest(r.ks) k from r{k}),
+ b{k} as (select host, template, k, sum(kinds) size, bool_or(bin = -1) or not any_value(many) open_ from e{k} group by all),
+ s{k} as (select c.host, c.template, c.seg, c.template || '/' || case when size = 1 then c.seg when open_ then '*' else '*' || e.k end grown
+  from c{k} c join e{k} e on c.host = e.host and c.template = e.template and c.bin = e.bin join b{k} b on b.host = e.host and b.template = e.template and b.k = e.k),
  t{k + 1} as (select t.host, t.segs, coalesce(grown, t.template) as template, pages, good, bad from t{k} t left join s{k} s on t.host = s.host and t.template = s.template and t.segs[{k + 1}] = s.seg)""")
     fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
     by_length = sorted(rules, key=lambda r: -len(r[1] + r[2]))
