@@ -3,12 +3,14 @@
 A fingerprint has 64 bits: bit b is 1 if it is set in more than half of the XXH64 (seed 42) of the text's
 word shingles. Two fingerprints link if at most `radius` bits differ.
 
-Equal fingerprints are combined first, so thousands of copies are one row from there on. The distinct ones are
-cut into `radius + 2` bands; two that link agree in at least two bands, so each fingerprint goes to one bucket
-for each pair of bands. Within a bucket they are sorted by population count and compared in tiles by numpy
-exclusive-or and bit counts; a pair of tiles whose population counts are further apart than the radius is
-skipped. A bucket with more than `tile_rows` fingerprints is dealt out as tile pairs by population count and
-hash, each a task of bounded size. Every task returns a spanning forest of its links, not the pairs.
+Equal fingerprints are combined first, so thousands of copies are one row from there on. Distinct ones are sorted by
+population count and compared tile by tile with numpy exclusive-or and bit counts; pairs of tiles whose population
+counts are further apart than the radius are skipped, as two that link differ by no more. Comparing all tiles of a
+corpus would still be quadratic in it (population counts of most fingerprints lie between 24 and 40), so fingerprints
+are dealt out before that: cut into `radius + 2` bands, two that link agree in at least two bands, so each goes to the
+tiles of one bucket for each pair of bands, and no link is lost. Buckets of up to SMALL fingerprints are one tile each,
+compared together; one of over `tile_rows` is dealt out as pairs of tiles by population count and hash, each a task of
+bounded size. Every task returns a spanning forest of its links, not the pairs.
 
 No word: fingerprint zero, which links like any other. Null ids: such rows get a component like others, and do
 not give it its id unless all its rows are null.
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import lean, stored
+from gridloom.llm.common import lean, meet, stored
 from gridloom.llm.components import components
 from gridloom.llm.words import mixed
 
@@ -140,20 +142,22 @@ def _wides(column: pa.ChunkedArray | pa.Array) -> np.ndarray | None:
 def _in_buckets(t: pa.Table, radius: int, far: int) -> Iterator[pa.RecordBatch]:
     """Links within each bucket of a table (key, node, fp, wide) sorted by key.
 
-    Buckets of up to SMALL rows are compared all at once, rows with those that follow at distance 1, 2, ...;
-    larger ones each in tiles.
+    Buckets of up to SMALL rows are compared all at once, rows with those that follow at distance 1, 2, ... as long as
+    their population counts allow; larger ones each in tiles.
     """
     t = t.combine_chunks()
     k, node, fp, wides = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy().view(np.uint64), _wides(t.column(3))
+    order = np.lexsort((np.bitwise_count(fp), k))
+    k, node, fp, wides = k[order], node[order], fp[order], None if wides is None else wides[order]
     cut = np.flatnonzero(np.diff(k)) + 1
     start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
     size = end - start
     out: list[tuple[int, int]] = []
     few = np.flatnonzero(np.repeat(size <= SMALL, size))
     key, x = k[few], fp[few]
-    pairs = []
+    ones, pairs = np.bitwise_count(x).astype(np.int64), []
     for d in range(1, min(SMALL, len(few))):
-        same = key[d:] == key[:-d]
+        same = (key[d:] == key[:-d]) & (ones[d:] - ones[:-d] <= radius)  # counts ascend: beyond it all later ones are too
         if not same.any():
             break
         i = np.flatnonzero(same & (np.bitwise_count(x[d:] ^ x[:-d]) <= radius))
@@ -231,8 +235,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, check: i
     of 256 bits; 41 is what shingle sets of Jaccard index 0.8 differ in on average, a little rounded up.
     """
     fps = stored(fingerprints(docs, shingle, check, cap), "fps").withColumn("node", F.xxhash64("fp", "wide") if check else F.col("fp"))
-    distinct = stored(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("doc_id").alias("least")), "distinct")
+    distinct = stored(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
     root = components(links(distinct.select("node", "fp", "wide"), radius, far))
-    classes = distinct.select("node", "least").join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.select("doc_id", "fp", "node").join(classes.select("node", "root").join(least, "root").drop("root"), "node").select("doc_id", "fp", "component_id")
+    classes = stored(distinct.select("node", "least", "copies").join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
+    least = stored(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "least")
+    named = stored(meet(classes.select("node", "root", "copies"), least, "root", "nodes").select("node", "component_id", "copies"), "named")
+    return meet(fps.select("doc_id", "fp", "node"), named, "node", "copies").select("doc_id", "fp", "component_id")
