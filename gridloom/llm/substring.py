@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NULL_ID, group_of, group_of_ids, lean, narrow, pack, parts, runs, trim, unpack
+from gridloom.llm.common import NULL_ID, group_of_ids, lean, narrow, pack, parts, runs, trim, unpack
 from gridloom.llm.words import window_hashes, word_hashes, words
 
 #: Perfect difference covers: every difference modulo the period is one of two members.
@@ -46,7 +46,18 @@ def _period(width: int) -> int:
 
 
 def _texthash(values: list[bytes | None]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh32_intdigest(t or b"") for t in values), np.uint32, len(values))
+    return np.fromiter((xxhash.xxh64_intdigest(t or b"", 42) & 0xFFFFFFFF for t in values), np.uint32, len(values))
+
+
+def _groups(ids: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
+    """Groups of documents, by id and text, so that rows of one id (or none) do not gather in one."""
+    return group_of_ids(ids.astype(np.int64) ^ (th.astype(np.int64) << 20), n)
+
+
+def _group(n: int) -> Column:
+    """The group of a row, as `_groups` finds it."""
+    th = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).bitwiseXOR(F.shiftleft(th, 20))), F.lit(n)).cast("int")
 
 
 def _rows(out: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
@@ -80,7 +91,7 @@ def _by_group(ids, th, doc, pos, n_groups: int, bucket: int) -> list[tuple[int,
     if not len(doc):
         return []
     used, inner = np.unique(doc, return_inverse=True)
-    grp = group_of_ids(ids[used], n_groups)[inner]
+    grp = _groups(ids[used], th[used], n_groups)[inner]
     order = np.lexsort((pos, doc, grp))
     return [(bucket, g, _places(ids, th, doc[order[a:b]], pos[order[a:b]])) for g, a, b in runs(grp[order])]
 
@@ -243,7 +254,7 @@ def _cut(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _result(width: int, joined: bool, schema: pa.Schema):
+def _result(width: int, joined: bool, schema: pa.Schema, helper: str):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Table:
         values, ids = _texts(docs), _ids(docs)
         th = _texthash(values)
@@ -268,7 +279,7 @@ def _result(width: int, joined: bool, schema: pa.Schema):
             lost.append(int(gone.sum()))
             spans.append(_spans(gone))
             kept.append(b" ".join(x for x, g in zip(w, gone.tolist()) if not g) if joined else _cut(text, gone))
-        cols = [docs.column(c).cast(schema.field(c).type) for c in docs.column_names if c != "_grp"]
+        cols = [docs.column(c).cast(schema.field(c).type) for c in docs.column_names if c != helper]
         del values
         trim()
         cols += [pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary()).cast(pa.string())]
@@ -288,21 +299,22 @@ def remove_repeats(docs: DataFrame, width: int = 20, joined: bool = False, size_
     period = _period(width)
     span = width - period + 1
     n = parts(docs, size_mb)
-    new = ("n_words", "n_removed", "removed_spans", "kept_text", "_grp")
-    base = docs.drop(*new).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    grouped = base.withColumn("_grp", group_of("_key", n)).drop("_key")
-    flat = base.select("_key", F.col("text").cast("binary").alias("text"))
+    base = docs.drop("n_words", "n_removed", "removed_spans", "kept_text")
+    helper = "_grp"
+    while helper in base.columns:
+        helper += "_"
+    flat = base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     blobs = "bucket int, grp int, blob binary"
     sent = flat.mapInArrow(lean(_anchors(width, period, n, n)), blobs)
     shared = sent.groupBy("bucket").applyInArrow(_shared(n), blobs).drop("bucket")
-    left = grouped.groupBy("_grp")
+    left = base.withColumn(helper, _group(n)).groupBy(helper)
     probes = left.cogroup(shared.groupBy("grp")).applyInArrow(_windows(width, span, n), blobs)
     named = probes.groupBy("bucket").applyInArrow(_later(n), blobs).drop("bucket")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.drop('_key').schema)}, n_words long, n_removed long, removed_spans array<array<int>>, kept_text string"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, n_words long, n_removed long, removed_spans array<array<int>>, kept_text string"
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return left.cogroup(named.groupBy("grp")).applyInArrow(_result(width, joined, arrow), schema)
+    return left.cogroup(named.groupBy("grp")).applyInArrow(_result(width, joined, arrow, helper), schema)
 
 
 def sql(width: int = 20) -> str:
