@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounds_table, id_bounds, lean, NULL_ID, range_of
+from gridloom.llm.common import bounds_table, id_bounds, lean, NULL_ID, range_of, ranges
 from gridloom.llm.words import _BASE, _powers, mixed, word_hashes
 
 BASE_CELLS, HASHES = 24, 3
@@ -187,9 +187,8 @@ def edited(text: str, following: str) -> str:
 
 def _in_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, text, part, ahead) dealt and sorted so that each own row is followed by the next document's."""
-    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = id_bounds(key, n)
+    bounds = id_bounds(key, ranges(key))
     own = key.withColumn("part", range_of(F.col("doc_id"), bounds))
     last, table = len(bounds) - 1, bounds_table(bounds)
     before = F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1)

@@ -11,7 +11,7 @@ doc_id, and `skipped` counts the tokens of the part before the image. Spark's wr
 lost executor leaves no half-written image. Decoding looks the lengths up in a table by control byte.
 
 A null text is empty, a null doc_id sorts first and comes back null; rows of equal doc_id are ordered by
-their number of ids, then by the ids.
+their number of ids, then by their coded bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_bounds, lean, NULL_ID, range_of, stored, workspace
+from gridloom.llm.common import _RUN, id_bounds, lean, NULL_ID, range_of, ranges, stored, workspace
 from gridloom.llm.tokens import encoder
 
 MAGIC = b"GLV1"
@@ -152,7 +152,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, spaced: bool = False, end
         if held:
             yield close()
 
-    bounds = id_bounds(tokens, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = id_bounds(tokens, ranges(tokens))
     coded = tokens.mapInArrow(lean(recode), "doc_id long, n long, code binary").select(range_of(F.col("doc_id"), bounds).cast("long").alias("part"), "doc_id", "n", "code")
     ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "n", "code")
     ordered.mapInArrow(images, "part long, image long, skipped long, tokens long, image_bytes binary").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/images")
@@ -183,6 +183,6 @@ def read_ids(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, spaced: bool = False, end_id: int = 1, ids: bool = False) -> DataFrame:
     """Writes docs to a folder of the workspace and reads it back."""
-    folder = f"{workspace(docs.sparkSession)}/gridloom/ids-{uuid.uuid4().hex}"
+    folder = f"{workspace(docs.sparkSession)}/gridloom/{_RUN}/ids-{uuid.uuid4().hex}"
     write_ids(docs, folder, path, spaced, end_id)
     return read_ids(docs.sparkSession, folder, ids)
