@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import lean, stored
 from gridloom.llm.tokens import MEMO, encoder
 
-#: Tasks that share the numbering of one length.
-SALTS = 16
+#: Pieces of one length that a task numbers, about.
+NUMBERED = 500_000
 
 
 def pieces(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 0, max_tokens: int = 2048, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
@@ -96,7 +96,7 @@ def best_fit(histogram: dict[int, int], capacity: tuple[int, int, int], weights:
 
 
 def pack(
-    parts: DataFrame, max_tokens: int = 2048, max_documents: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), scores: tuple[str, ...] = ("norm", "dot")
+    parts: DataFrame, max_tokens: int = 2048, max_documents: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), scores: tuple[str, ...] = ("norm", "dot"), numbered: int = NUMBERED
 ) -> DataFrame:
     """parts (with doc_id, piece, ids_crc32 and length, read more than once) with sequence_id and offset.
 
@@ -104,9 +104,12 @@ def pack(
     one that needs the fewest sequences is kept.
     """
     spark = parts.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
+    # a row a length, so max_tokens rows at most; then a row a length and salt, one more for each NUMBERED pieces
+    sizes = dict(parts.groupBy("length").count().collect())
+    salts = [max(1, -(-sizes.get(length, 0) // numbered)) for length in range(max_tokens + 1)]
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(salts), F.col("length").cast("int"))).cast("int")
     parts = parts.withColumn("_salt", salt)
-    counts = parts.groupBy("length", "_salt").count().orderBy("length", "_salt").collect()  # max_tokens x SALTS rows at most
+    counts = parts.groupBy("length", "_salt").count().orderBy("length", "_salt").collect()
     histogram: dict[int, int] = {}
     bases = []
     for length, s, n in counts:
