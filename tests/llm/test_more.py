@@ -12,7 +12,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from gridloom.llm import fingerprints, language, mixing, outliers, queries, transcripts, urls
+from gridloom.llm import fingerprints, language, mixing, outliers, queries, urls
 
 # -- urls
 
@@ -79,40 +79,145 @@ def test_statistics_by_brute_force(spark, docs, edge):
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in text.items()}
 
 
+def vectors_frame(spark, groups, noise=1e-4):
+    rows = [(k, *map(float, r), *[noise] * 5) for k, x in groups.items() for r in x]
+    return spark.createDataFrame(rows, ["key", *outliers.FEATURES, *outliers.NOISE])
+
+
+def covariance_of(fit):
+    low = np.zeros((5, 5))
+    for i, j in outliers._PAIRS:
+        low[i, j] = fit[f"l{i}_{j}"]
+    return low @ low.T
+
+
 def test_estimates_resist_contamination(spark):
     rng = np.random.default_rng(0)
     mean, spread = np.array([5.0, 1.7, 0.3, 0.4, 0.5]), np.array([1.0, 0.3, 0.2, 0.3, 0.3])
     good = mean + spread * rng.standard_normal((2000, 5))
     bad = mean + 12 * spread + 0.05 * rng.standard_normal((300, 5))
-    rows = spark.createDataFrame([("k", *map(float, r)) for r in np.vstack([good, bad])], ["key", *outliers.FEATURES])
-    fit = outliers.estimates(rows).first()
+    fit = outliers.estimates(vectors_frame(spark, {"k": np.vstack([good, bad])})).first()
     assert np.allclose([fit[f"m{i}"] for i in range(5)], mean, atol=0.12)
-    low = np.zeros((5, 5))
-    for i, j in outliers._PAIRS:
-        low[i, j] = fit[f"l{i}_{j}"]
-    sd = np.sqrt(np.diag(low @ low.T) - np.array(list(outliers.FEATURES.values())) ** 2)
-    assert np.allclose(sd, spread, rtol=0.2)
+    assert np.allclose(np.sqrt(np.diag(covariance_of(fit))), spread, rtol=0.2)
+
+
+def brute_mcd(x, noise, share=0.75, starts=300):
+    """The least log determinant that concentration steps find from many random small subsets, with exact nearest shares."""
+    rng, h, f = np.random.default_rng(1), int(np.ceil(share * len(x))), outliers.consistency(5, share)
+    best = None
+    for _ in range(starts):
+        at = rng.choice(len(x), 8, replace=False)
+        m, c = x[at].mean(0), np.cov(x[at].T, bias=True) + noise * np.eye(5)
+        for _ in range(20):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            at = np.argsort(d)[:h]
+            m, c = x[at].mean(0), f * np.cov(x[at].T, bias=True) + noise * np.eye(5)
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0]:
+            best = det, m, c
+    return best
+
+
+def test_estimates_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    groups = {}
+    for k in range(6):
+        n, mix = 160 + 40 * k, rng.standard_normal((5, 5)) * 0.5
+        x = rng.standard_normal((n, 5)) @ mix
+        bad = int((0.0, 0.1, 0.2)[k % 3] * n)
+        x[:bad] = x[:bad] * 0.3 + (4 if k < 3 else -3) * np.array([1, 0.5, -1, 2, 0.2])
+        groups[f"g{k}"] = x
+    found = {r.key: r for r in outliers.estimates(vectors_frame(spark, groups)).collect()}
+    for k, x in groups.items():
+        det, m, c = brute_mcd(x, 1e-4)
+        fit = found[k]
+        assert fit["all"] == len(x) and det - 0.02 <= fit.logdet <= det + 0.25  # bins, four starts
+        spread = np.sqrt(np.diag(c))
+        assert (np.abs(np.array([fit[f"m{i}"] for i in range(5)]) - m) < 0.35 * spread).all()
+        d = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)  # noqa: E731, B023
+        cut = outliers.quantile(5, 1 - 1e-6)
+        assert (((d(m, c) > cut) == (d(np.array([fit[f"m{i}"] for i in range(5)]), covariance_of(fit)) > cut)).mean()) > 0.97
 
 
 def test_noisy_documents_go_and_clean_ones_stay(spark):
     from llm.conftest import prose
 
     rows = [(k, prose(k, 40 + 7 * (k % 60)), "en", "s") for k in range(300)] + [(900 + k, " ".join(w + "$$$" for w in prose(k, 120).split()), "en", "s") for k in range(20)]
+    rows += [(950 + k, " ".join(w + ("$" if i % 2 else "") for i, w in enumerate(prose(k, 150).split())), "en", "s") for k in range(20)]  # moderate: one character in thirteen
     got = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[k] for k in range(300)) and not any(got[900 + k] for k in range(20))
+    assert all(got[k] for k in range(300)) and not any(got[900 + k] for k in range(20)) and not any(got[950 + k] for k in range(20))
+
+
+def test_labelled_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = outliers.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    kept = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert kept[1] >= 0.98 and kept[0] <= 0.3
+
+
+def test_groups_that_are_not_broadcast(spark, docs):
+    """With every group over the limit of a broadcast, hot ones still go to every task and the result is the same."""
+    from gridloom.llm import common
+
+    side = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    a, b = (sorted((r.doc_id, r.lang, r.least) for r in common.meet(docs.select("doc_id", "lang"), side, "lang", "n", how, few).collect()) for how, few in (("inner", 100), ("left", 1)))
+    assert a == b and len(a) == docs.count()
 
 
 def test_distance_and_consistency(spark, nothing):
-    assert math.isclose(outliers.consistency(5, 1.0 - 1e-9), 1.0, rel_tol=1e-6) and 1.3 < outliers.consistency(5, 0.75) < 1.6
+    assert math.isclose(outliers.consistency(5, 1.0 - 1e-9), 1.0, rel_tol=1e-6) and math.isclose(outliers.quantile(5, 0.999), 20.515, abs_tol=1e-3) and 1.3 < outliers.consistency(5, 0.75) < 1.6
     assert outliers.judge(nothing).count() == 0
 
 
 # -- mixing
 
 
+def plain_fit(cells, targets, rounds=400):
+    """Iterative proportional fitting in dictionaries: cells {(categories): tokens}."""
+    w = {c: 1.0 for c in cells}
+    for _ in range(rounds):
+        for k, wanted in enumerate(targets):
+            now = Counter()
+            for c, n in cells.items():
+                now[c[k]] += n * w[c]
+            there = {x: wanted.get(x, 0.0) for x in now if now[x] > 0}
+            for c in cells:
+                w[c] *= there.get(c[k], 0.0) / sum(there.values()) / (now[c[k]] / sum(now.values())) if now[c[k]] else 1.0
+    scale = sum(cells.values()) / sum(n * w[c] for c, n in cells.items())
+    return {c: x * scale for c, x in w.items()}
+
+
+def rows_to_mix(docs):
+    return docs.select("doc_id", "text", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens"))
+
+
+@pytest.mark.parametrize("driver_cells", [100_000, 0])
+def test_weights_by_brute_force(spark, docs, driver_cells):
+    rows, dims = rows_to_mix(docs), ["source", "lang", "topic"]
+    cells = mixing.tally(rows, dims)
+    targets = mixing.natural(cells, dims, 1.5)
+    have = Counter()
+    for r in rows.collect():
+        have[tuple(r[d] for d in dims)] += r.n_tokens
+    assert all(math.isclose(targets["lang"][k] / targets["lang"]["en"], (sum(n for c, n in have.items() if c[1] == k) / sum(n for c, n in have.items() if c[1] == "en")) ** (1 / 1.5)) for k in targets["lang"])
+    want = plain_fit(have, [targets[d] for d in dims])
+    rounds = 100 if driver_cells else 12
+    budget = 0.5 * sum(have.values())
+    out = mixing.mix(rows, targets, budget_share=0.5, driver_cells=driver_cells, rounds=rounds).collect()
+    assert len(out) == sum(1 for _ in out) == rows.count()
+    for r in out:
+        assert math.isclose(r.weight, want[tuple(r[d] for d in dims)], rel_tol=1e-6 if driver_cells else 1e-3)
+    assert math.isclose(sum(r.n_tokens * r.probability for r in out), budget, rel_tol=1e-9)  # exactly the budget
+    ratio = {r.probability / r.weight for r in out if 0 < r.probability < 1}
+    assert max(ratio) - min(ratio) < 1e-9
+    kept = sum(r.n_tokens for r in out if r.kept)
+    spread = sum(r.n_tokens**2 * r.probability * (1 - r.probability) for r in out) ** 0.5
+    assert abs(kept - budget) < 4 * spread and all(r.kept for r in out if r.probability == 1)
+
+
 def test_raking_meets_the_targets(spark, docs):
-    rows = docs.select("doc_id", "text", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens"))
-    targets = mixing.natural(rows, ["lang", "topic"], 2.0)
+    rows, dims = rows_to_mix(docs), ["lang", "topic"]
+    targets = mixing.natural(mixing.tally(rows, dims), dims, 2.0)
     out = mixing.mix(rows, targets).cache()
     for d in targets:
         got = {r[d]: r.n for r in out.groupBy(d).agg(F.sum(F.col("n_tokens") * F.col("weight")).alias("n")).collect()}
@@ -121,11 +226,6 @@ def test_raking_meets_the_targets(spark, docs):
     assert out.agg(F.max("probability")).first()[0] <= 1.0
     again = mixing.mix(rows.repartition(3), targets)
     assert sorted(out.where("kept").select("doc_id").collect()) == sorted(again.where("kept").select("doc_id").collect())
-    table = {(r.lang, r.topic): r.factor for r in mixing.weights(rows, targets, driver_cells=0, rounds=8).collect()}
-    driver = {(r.lang, r.topic): r.factor for r in mixing.weights(rows, targets).collect()}
-    assert all(math.isclose(table[k], driver[k], rel_tol=1e-4) for k in driver)
-    half = mixing.mix(rows, targets, budget_share=0.5).agg(F.sum(F.col("probability") * F.col("n_tokens")), F.sum("n_tokens")).first()
-    assert abs(half[0] / half[1] - 0.5) < 0.01
 
 
 def test_mixing_edges(spark, edge, nothing):
@@ -133,49 +233,12 @@ def test_mixing_edges(spark, edge, nothing):
     out = mixing.mix(rows, {"lang": {"en": 0.5, "de": 0.25, None: 0.25, "xx": 3.0}})
     assert out.count() == edge.count() and out.where("lang = 'fr' and kept").count() == 0  # not in the targets: zero
     assert mixing.mix(nothing.withColumn("n_tokens", F.lit(1)), {"lang": {"en": 1.0}}).count() == 0
-
-
-# -- transcripts
-
-
-def best_by_enumeration(e):
-    import itertools
-
-    best = max(itertools.product(range(6), repeat=len(e)), key=lambda s: transcripts._START[s[0]] + e[0][s[0]] + sum(transcripts._MOVE[a, b] + e[k + 1][b] for k, (a, b) in enumerate(zip(s, s[1:]))))
-    return list(best)
-
-
-def test_viterbi_by_enumeration():
-    lines = ["Human: hello?", "more of it", "[ASSISTANT] yes", "", "and so on"]
-    e = transcripts.emissions(lines, [True, False, True, False, False])
-    assert transcripts.viterbi(e) == best_by_enumeration(e)
-
-
-@pytest.mark.parametrize(("line", "role"), [("User: hi", "user"), ("### Assistant:", "assistant"), ("[SYSTEM] be kind", "system"), ("<|im_start|>user", "user"), ("**Bot**: x", "assistant"), ("Note: x", None), ("plain", None)])
-def test_markers(line, role):
-    assert transcripts.marker(line)[0] == role
-
-
-def test_roles_are_recovered_whatever_the_blocks(spark):
-    c = spark.read.parquet(f"{SF}/conversations.parquet")
-    true = {}
-    for r in c.orderBy("conv_id", "turn").collect():
-        true[r.conv_id] = true.get(r.conv_id, "") + r.role[0].upper()
-    seen = []
-    for block in (64, 3, 1):
-        got = {}
-        for r in transcripts.render(transcripts.parse(transcripts.transcripts(c), block)).orderBy("conv_id", "block").collect():
-            got[r.conv_id] = got.get(r.conv_id, "") + r.roles
-        seen.append(got)
-    assert seen[0] == seen[1] == seen[2]
-    assert sum(seen[0][k] == v for k, v in true.items()) >= 0.9 * len(true)
-
-
-def test_rendering(spark):
-    raw = spark.createDataFrame([(1, 0, "User: hello?\nmore", 7), (1, 1, "<|im_start|>assistant\nfine", 7), (2, None, None, 7), (None, 3, "", 7), (1, 1, "<|im_start|>assistant\nfine", 7)], "conv_id long, turn long, text string, block int")
-    got = {r.conv_id: r for r in transcripts.render(transcripts.parse(raw)).collect()}
-    assert got[1].rendered.startswith("<|user|>\nhello?\nmore\n<|end|>\n<|assistant|>\n") and got[1].roles.startswith("UA") and len(got) == 3
-    assert transcripts.render(transcripts.parse(raw.where("conv_id > 5"))).count() == 0
+    named = rows.select("*", *(F.lit(9).alias(c) for c in ("weight", "probability", "kept", "documents", "k0", "_cell", "factor")), F.col("lang").alias("tokens"))
+    for cells in (100_000, 0):
+        got = mixing.mix(named, {"tokens": {"en": 0.5, "de": 0.5}}, driver_cells=cells, rounds=5)
+        assert sorted(got.columns) == sorted(set(named.columns)) and got.count() == edge.count() and {r.k0 for r in got.collect()} == {9}
+    half = mixing.mix(rows.withColumn("n_tokens", F.when(F.col("doc_id") > 5, F.col("n_tokens"))), {"lang": {"en": 1.0}}, budget_share=0.5)
+    assert half.count() == edge.count()
 
 
 # -- fingerprints
@@ -230,17 +293,48 @@ def test_undersized_sketches_are_retried():
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in language.init(3).items()}
-    words, y = sorted([b"hello", b"ab", b"c", b"worldly"], key=len, reverse=True), np.array([0, 1, 2, 1])
-    _, g = language.gradients(p, words, y)
+    (ids, n), y = language.columns([b"worldly wide", b"hello", b"ab", b"c"]), np.array([0, 1, 2, 1])
+    _, g = language.gradients(p, ids, n, y)
     for k in p:
         for _ in range(5):
             at = tuple(int(rng.integers(0, s)) for s in p[k].shape)
             at = (ord("l"), at[1]) if k[0] == "W" else at
             q = {a: b.copy() for a, b in p.items()}
             q[k][at] += 1e-4
-            up = language.gradients(q, words, y)[0]
+            up = language.gradients(q, ids, n, y)[0]
             q[k][at] -= 2e-4
-            assert math.isclose((up - language.gradients(q, words, y)[0]) / 2e-4, g[k][at], abs_tol=1e-6)
+            assert math.isclose((up - language.gradients(q, ids, n, y)[0]) / 2e-4, g[k][at], abs_tol=1e-6)
+
+
+def plain_score(p, text):
+    """Pooled probabilities of one text, byte by byte: each core's positions, with the bytes around it."""
+    sig, h, k = lambda x: 1 / (1 + np.exp(-x)), language.HIDDEN, len(p["c"])
+    total = np.zeros(k)
+
+    def states(d, window):
+        s, out = np.zeros(h), []
+        for c in window if d == "f" else window[::-1]:
+            z, r = (sig(p[f"W{d}{g}"][c] + p[f"b{d}{g}"] + s @ p[f"U{d}{g}"]) for g in "zr")
+            m = np.tanh(p[f"W{d}m"][c] + p[f"b{d}m"] + r * (s @ p[f"U{d}m"]))
+            s = m + z * (s - m)
+            out.append(s)
+        return out if d == "f" else out[::-1]
+
+    for a in range(0, len(text), language.CORE):
+        lo, hi = max(0, a - language.EDGE), min(len(text), a + language.CORE + language.EDGE)
+        y = np.array(states("f", text[lo:hi])) @ p["Vf"] + np.array(states("b", text[lo:hi])) @ p["Vb"] + p["c"]
+        y -= np.log(np.exp(y).sum(1, keepdims=True))
+        total += y[a - lo : min(a + language.CORE, len(text)) - lo].sum(0)
+    y = total / max(1, len(text)) * min(len(text), language.EVIDENCE)
+    return np.exp(y) / np.exp(y).sum()
+
+
+def test_every_position_is_read_with_what_surrounds_it():
+    rng = np.random.default_rng(5)
+    p = {k: (3 * v).astype(np.float32) for k, v in language.init(4).items()}
+    texts = [bytes(rng.integers(97, 123, n).tolist()) for n in (0, 1, 15, 223, 224, 225, 240, 241, 700, 3000)]
+    got = language.score(p, texts)
+    assert all(np.allclose(g, plain_score(p, t), atol=2e-4) for g, t in zip(got, texts))
 
 
 def test_held_out_accuracy(spark):
@@ -262,15 +356,52 @@ def test_language_edges(spark, docs, edge, nothing):
     assert a == {r.doc_id: (r.lang_pred, r.score) for r in language.identify(hidden, model).collect()}
 
 
-def test_memo_limit_changes_nothing():
-    p = language.init(3)
-    texts = [b"a bb ccc dddd", b"", b"eeeee a bb " + b"z" * 100]
-    assert np.allclose(language.Reader(p).score(texts), language.Reader(p, limit=2).score(texts))
+def test_kept_columns_and_many_labels(spark, docs):
+    model = language.fit(docs)
+    named = docs.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit("y"))
+    assert language.identify(named, model, "score", "lang_pred", "source").columns == ["doc_id", "lang_pred", "score", "source"]
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.concat(F.lit("l"), F.col("id") % 1500).alias("lang"))
+    assert language.sample(many, 2, 3).select("lang").distinct().count() > 1200
 
 
 # -- pipeline
 
 
+def five_words(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_classes(texts):
+    """Least id of each document's class, by brute force over sets of five-word shingles."""
+    sets, holders, root = {d: five_words(t) for d, t in texts.items()}, {}, {d: d for d in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d, s in sets.items():
+        for g in s or {None}:
+            holders.setdefault(g, []).append(d)
+    for d, s in sets.items():
+        shared = Counter(e for g in s for e in holders[g] if e < d)
+        for e, both in shared.items():
+            if both >= 0.8 * (len(s) + len(sets[e]) - both):
+                a, b = find(d), find(e)
+                root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in texts}
+
+
+def classes_of(before, after):
+    """The brute-force classes, which must keep one document each, and that unchanged."""
+    out = {}
+    for d, r in near_classes(before).items():
+        out.setdefault(r, set()).add(d)
+    assert sorted(after) == sorted(out) and all(after[d] == before[d] for d in after)
+    return out.values()
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
@@ -287,7 +418,7 @@ def test_pipeline_stages(spark, docs):
             assert all(any(c.isalpha() for c in t) for t in after.values())
             assert not [d for d in before if d not in after and len(re.findall(r"[a-zA-Z]", before[d] or "")) > 50]
         if name == "near_duplicates":
-            assert len(set(after.values())) == len(after) and {t for t in before.values()} - set(after.values()) == {t for t in before.values()} - set(after.values())
+            assert near_classes(before) == {d: min(m) for m in classes_of(before, after) for d in m}
         if name == "substrings":
             windows = Counter()
             for t in after.values():
@@ -302,10 +433,29 @@ def test_pipeline_stages(spark, docs):
 
 
 def test_pipeline_edges(spark, edge, nothing):
+    """Nulls, repeated ids and clashing names: what each stage keeps of the fixture, by hand."""
     import corpus_pipeline
 
-    for start in (edge, nothing):
-        at = start
-        for _, stage in corpus_pipeline.STAGES:
-            at = stage(spark, at, SF)
-        assert at.columns[0] == "doc_id" and at.count() >= 0
+    from gridloom.llm.common import stored
+
+    stages = dict(corpus_pipeline.STAGES)
+    at = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, SF)
+        assert at.count() == 0
+    given = [(r.doc_id, r.text) for r in edge.collect()]
+    with_letters = [r for r in given if r[1] and any(c.isalpha() for c in r[1])]
+    language_ = stored(stages["language"](spark, edge, SF), "language")
+    rows = [(r.doc_id, r.text) for r in language_.collect()]
+    assert len(rows) >= len(with_letters) - 3 and all(r in with_letters for r in rows)  # a few have no clear language
+    near = stored(stages["near_duplicates"](spark, edge, SF), "near")
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in near.collect())
+    # one of the texts without words, of the passage's copies (5 and null), and of near copies (8, 9, 10, 10)
+    want = {1, 4, 5, 7, 8, 11, 12, 13, 14, 16, 17, -5}  # 6 is the passage and a few words more
+    assert [r[1] for r in rows if not r[0] and r[1] != 15] == sorted(want) and [r[2] for r in rows if r[1] == 15] == ["other tie", "tie"] and not any(r[0] for r in rows)
+    cut = stored(stages["substrings"](spark, edge, SF), "cut").collect()
+    assert {r.doc_id for r in cut} >= {4, 6, 7, 8, 11, 12, 13, 14, 15, 16, 17, -5} and [r.text for r in cut if r.doc_id == 6] == ["Start. end of it"]
+    mixed = stages["mixing"](spark, edge, SF)
+    assert mixed.columns == list(corpus_pipeline.COLUMNS) and mixed.subtract(edge.select(*corpus_pipeline.COLUMNS)).count() == 0
+    packed = stages["packing"](spark, edge, SF)
+    assert packed.where("piece = 0").count() == edge.count() and packed.select("sequence_id", "offset").distinct().count() == packed.count()
