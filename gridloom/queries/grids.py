@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.model import Axis, Grid, Params, create
+from gridloom.operators.index import down_scale
 from gridloom.sources.tables import aggregate
 
 
@@ -26,22 +27,16 @@ def t1(spark: SparkSession, sf_dir: str) -> Grid:
 T1 = "t1 as (select cast(l_quantity as int) i, cast(round(l_discount * 100) as int) + 1 j, round(avg(l_extendedprice) / 1000, 3) v from lineitem group by 1, 2)"
 
 
-def t2(spark: SparkSession, sf_dir: str) -> Grid:
-    """Every 7th row and 5th column of t1, on its lattice: a complete sub-grid of 24 cells."""
-    g = t1(spark, sf_dir)
-    return g.with_cells(g.cells.where((F.col("i") % 7 == 1) & (F.col("j") % 5 == 1)))
-
-
-T2 = T1 + ", t2 as (select * from t1 where i % 7 = 1 and j % 5 = 1)"
-
-
 def t3(spark: SparkSession, sf_dir: str) -> Grid:
-    """An irregular ninth of t1."""
-    g = t1(spark, sf_dir)
-    return g.with_cells(g.cells.where((F.col("i") * 31 + F.col("j") * 17) % 9 == 0))
+    """The cells of t1 with more items than the mean cell has: about half of them, without a pattern."""
+    both = aggregate(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.rint(F.col("l_discount") * 100) + 1, F.array(F.round(F.avg("l_extendedprice") / 1000, 3), F.count("*").cast("double")), (50, 11), res=(1.0, 2.0), origin=(10.0, 100.0))
+    cells = both.cells.select("i", "j", F.get("v", F.lit(0)).alias("v"), F.get("v", F.lit(1)).alias("n"))
+    mean = F.broadcast(cells.agg(F.avg("n").alias("mean")))  # one row
+    return both.with_cells(cells.crossJoin(mean).where("n > mean").select("i", "j", "v"))
 
 
-T3 = T1 + ", t3 as (select * from t1 where (i * 31 + j * 17) % 9 = 0)"
+T3 = T1 + """, t3 as (select i, j, v from (select cast(l_quantity as int) i, cast(round(l_discount * 100) as int) + 1 j, round(avg(l_extendedprice) / 1000, 3) v, count(*) n, avg(count(*)) over () mean
+ from lineitem group by 1, 2) where n > mean)"""
 
 
 def t4(spark: SparkSession, sf_dir: str) -> Grid:
@@ -78,14 +73,22 @@ T8 = "t8 as (select p_size i, b j, max(p_retailprice) > 1400 v from (select *, d
 #: Parameters of the queries.
 GAU = Params(Axis("gau", 6.0), Axis("gau", 5.0), 4.0, 0.5)
 MIXED = Params(Axis("mat", 4.0, 1.5), Axis("exp", 6.0), 3.0, 0.25)
-#: Six cells of t1 for queries that SQL can solve.
-SIX = [(5, 2), (12, 9), (23, 4), (31, 7), (38, 1), (47, 10)]
-SIX_LATTICE = [(i, j) for j in (3, 8) for i in (10, 25, 40)]
 
 
-def some(spark: SparkSession, sf_dir: str, cells: list[tuple[int, int]] = SIX) -> Grid:
-    g = t1(spark, sf_dir)
-    return g.with_cells(g.cells.where(F.struct("i", "j").isin([F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in cells])))
+def t5(spark: SparkSession, sf_dir: str) -> Grid:
+    """Mean price by line number (1 to 7) and discount (0 to 10 %): a complete 7 x 11 grid."""
+    return aggregate(table(spark, sf_dir, "lineitem"), F.col("l_linenumber"), F.rint(F.col("l_discount") * 100) + 1, F.round(F.avg("l_extendedprice") / 1000, 3), (7, 11), res=(2.0, 2.0))
+
+
+T5 = "t5 as (select l_linenumber i, cast(round(l_discount * 100) as int) + 1 j, round(avg(l_extendedprice) / 1000, 3) v from lineitem group by 1, 2)"
+
+
+def t2(spark: SparkSession, sf_dir: str) -> Grid:
+    """t5 as every other line of a 13 x 21 grid: a complete sub-grid of 77 cells."""
+    return down_scale(t5(spark, sf_dir), 2)
+
+
+T2 = T5 + ", t2 as (select cast(2 * i - 1 as int) i, cast(2 * j - 1 as int) j, v from t5)"
 
 
 def empty(spark: SparkSession, ny: int, nx: int, **meta) -> Grid:

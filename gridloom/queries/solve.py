@@ -1,121 +1,112 @@
-"""DuckDB SQL for kriging and likelihoods of few observations: an unrolled Cholesky solution."""
+"""DuckDB SQL for kriging and likelihoods: Gauss-Jordan elimination of all observed cells in a recursive query."""
 
 from __future__ import annotations
 
-from gridloom.queries.grids import T1
+PARS = "select 1 pid, 6.0 ry, 5.0 rx, 4.0 psill, 0.5 eps"
+CELLS = "(select unnest(range(1, {ny} + 1)) i) ci, (select unnest(range(1, {nx} + 1)) j) cj"
+
+
+def cov(p: str, q: str, dy: float = 1.0, dx: float = 2.0) -> str:
+    """The separable Gaussian covariance of the cells p and q, without the nugget."""
+    return f"psill * exp(-pow({dy} * ({p}.i - {q}.i) / ry, 2)) * exp(-pow({dx} * ({p}.j - {q}.j) / rx, 2))"
+
+
+class System:
+    """CTEs that solve V s = r for all cells of a table (i, j, v) and each row of parameters (pid, ry, rx, psill, eps).
+
+    gj holds each step of the elimination: the rows' columns that are left, and the pivots; so, the solutions by cell:
+    r[1], r[2], ... of the right sides, given as an expression in the columns of `a`. With `cells`, the covariances c
+    with every cell of the grid follow as further right sides.
+    """
+
+    def __init__(self, table: str, name: str, right: str, pars: str = PARS, cells: bool = False, dim: tuple[int, int] = (50, 11), res: tuple[float, float] = (1.0, 2.0)):
+        self.dim, self.res = dim, res
+        c = self.cov
+        self.ctes = [
+            table,
+            f"ob as (select row_number() over (order by j, i) k, count(*) over () n, cast(i as int) i, cast(j as int) j, v from {name})",
+            f"pars as ({pars})",
+            f"ce as (select row_number() over (order by j, i) c, cast(i as int) i, cast(j as int) j from {CELLS.format(ny=dim[0], nx=dim[1])})",
+        ]
+        if cells:
+            self.ctes.append(f"kc as (select pid, k, list({c('ob', 'ce')} order by ce.c) c from pars, ob, ce group by all)")
+            self.ctes.append("aa as (select pars.*, ob.*, kc.c from pars, ob join kc on kc.k = ob.k where kc.pid = pars.pid)")
+        else:
+            self.ctes.append("aa as (select pars.*, ob.*, [] c from pars, ob)")
+        self.ctes += [
+            f"sy as (select a.pid, a.k i, any_value(a.n) n, list({c('a', 'b')} + case when a.k = b.k then eps else 0 end order by b.k) || any_value({right} || a.c) r from aa a, ob b group by a.pid, a.k)",
+            """gj as (select pid, 1 k, i, n, r, null::double pv from sy union all
+ select g.pid, g.k + 1, g.i, g.n, case when g.i = g.k then list_transform(g.r[2:], lambda x: x / g.r[1]) else list_transform(list_zip(g.r[2:], p.r[2:]), lambda t: t[1] - g.r[1] / p.r[1] * t[2]) end,
+  case when g.i = g.k then g.r[1] else g.pv end from gj g join gj p on p.pid = g.pid and p.i = p.k where g.k <= g.n)""",
+            "so as (select gj.pid, ob.*, r, pv from gj join ob on gj.i = ob.k where gj.k = gj.n + 1)",
+        ]
+
+    def cov(self, p: str, q: str) -> str:
+        return cov(p, q, *self.res)
+
+    def add(self, *ctes: str) -> System:
+        self.ctes += ctes
+        return self
 
+    def text(self, final: str) -> str:
+        return "with recursive " + ",\n ".join(self.ctes) + "\n" + final
 
-def _corr(k: str, d: str, rho: str) -> str:
-    return {"gau": f"exp(-pow({d} / {rho}, 2))", "exp": f"exp(-abs({d}) / {rho})"}[k]
-
-
-class Solution:
-    """CTEs over one row a parameter set: z1.., the factor l, and solutions of V s = rhs by name."""
-
-    def __init__(self, cells: list[tuple[int, int]], k: str = "gau", dy: float = 1.0, dx: float = 2.0, pars: str = "select 6.0 ry, 5.0 rx, 4.0 psill, 0.5 eps"):
-        self.cells, self.n, self.k, self.dy, self.dx = cells, len(cells), k, dy, dx
-        z = ", ".join(f"max(v) filter (where i = {i} and j = {j}) z{a}" for a, (i, j) in enumerate(cells))
-        v = ", ".join(f"{self.cov(i, j, p, q)} + {'eps' if a == b else '0'} v{a}_{b}" for a, (i, j) in enumerate(cells) for b, (p, q) in enumerate(cells[: a + 1]))
-        self.ctes = [T1, f"pars as ({pars})", f"s as (select * from pars, (select {z} from t1))", f"c0 as (select *, {v} from s)"]
-        self.at = "c0"
-        for b in range(self.n):
-            self.step([(f"l{b}_{b}", f"sqrt(v{b}_{b}" + "".join(f" - l{b}_{m} * l{b}_{m}" for m in range(b)) + ")")])
-            if b + 1 < self.n:
-                self.step([(f"l{a}_{b}", f"(v{a}_{b}" + "".join(f" - l{a}_{m} * l{b}_{m}" for m in range(b)) + f") / l{b}_{b}") for a in range(b + 1, self.n)])
 
-    def cov(self, i, j, p, q) -> str:
-        return f"psill * {_corr(self.k, f'({self.dy} * ({i} - {p}))', 'ry')} * {_corr(self.k, f'({self.dx} * ({j} - {q}))', 'rx')}"
+def _trend(covariate: bool) -> list[str]:
+    """CTE tr (pid, b0[, b1], i00[, i01, i11]): coefficients and their covariances, of the right sides 1[, x], v."""
+    if not covariate:
+        return ["tr as (select pid, sum(r[2]) / sum(r[1]) b0, 1 / sum(r[1]) i00 from so group by pid)"]
+    sums = "sum(r[1]) a00, sum(i / 10.0 * r[1]) a01, sum(i / 10.0 * r[2]) a11, sum(r[3]) g0, sum(i / 10.0 * r[3]) g1"
+    return [
+        f"ts as (select pid, {sums} from so group by pid)",
+        "tr as (select pid, (a11 * g0 - a01 * g1) / det b0, (a00 * g1 - a01 * g0) / det b1, a11 / det i00, -a01 / det i01, a00 / det i11 from (select *, a00 * a11 - a01 * a01 det from ts))",
+    ]
 
-    def step(self, columns: list[tuple[str, str]]) -> None:
-        name = f"c{len(self.ctes)}"
-        self.ctes.append(f"{name} as materialized (select *, {', '.join(f'{e} {c}' for c, e in columns)} from {self.at})")
-        self.at = name
 
-    def solve(self, name: str, rhs: list[str], back: bool = True) -> None:
-        """{name}f0.. is L^-1 rhs, {name}0.. is V^-1 rhs."""
-        for a in range(self.n):
-            self.step([(f"{name}f{a}", f"({rhs[a]}" + "".join(f" - l{a}_{m} * {name}f{m}" for m in range(a)) + f") / l{a}_{a}")])
-        for a in reversed(range(self.n)) if back else ():
-            self.step([(f"{name}{a}", f"({name}f{a}" + "".join(f" - l{m}_{a} * {name}{m}" for m in range(a + 1, self.n)) + f") / l{a}_{a}")])
+def _right(covariate: bool) -> str:
+    return "[1.0, a.i / 10.0, a.v]" if covariate else "[1.0, a.v]"
 
-    def dot(self, a: str, b: str) -> str:
-        return "(" + " + ".join(f"{a}{k} * {b}{k}" for k in range(self.n)) + ")"
 
-    def text(self, final: str) -> str:
-        return "with " + ",\n ".join(self.ctes) + "\n" + final
+def gls(table: str, name: str, covariate: bool) -> str:
+    s = System(table, name, _right(covariate)).add(*_trend(covariate))
+    b = ["b0", "b1"][: 1 + covariate]
+    return s.text("select cast(k as int) k, round(b, 6) + 0.0 b from (" + " union all ".join(f"select {k} k, {c} b from tr" for k, c in enumerate(b)) + ")")
 
 
-ALL_CELLS = "(select unnest(range(1, 51)) i) a, (select unnest(range(1, 12)) j) b"
+def simple(table: str, name: str, mean: float) -> str:
+    s = System(table, name, f"[a.v - {mean}]")
+    return s.text(f"select ce.i, ce.j, round({mean} + sum(r[1] * {s.cov('so', 'ce')}), 6) + 0.0 p from ce, so, pars group by all")
 
 
-def simple(cells: list[tuple[int, int]], mean: float) -> str:
-    s = Solution(cells)
-    s.solve("w", [f"(z{a} - {mean})" for a in range(s.n)])
-    p = " + ".join(f"{s.cov('i', 'j', i, j)} * w{a}" for a, (i, j) in enumerate(cells))
-    return s.text(f"select cast(i as int) i, cast(j as int) j, round({mean} + {p}, 6) + 0.0 p from {s.at}, {ALL_CELLS}")
+def detrended(table: str, name: str) -> str:
+    return System(table, name, _right(False)).add(*_trend(False)).text("select i, j, round(v - b0, 6) + 0.0 v from so join tr using (pid)")
 
 
-def _trend(s: Solution, covariate: bool) -> list[str]:
-    """Coefficients b0, b1 as columns, from V^-1 1, V^-1 x, V^-1 z."""
-    s.solve("o", ["1.0"] * s.n)
-    s.solve("w", [f"z{a}" for a in range(s.n)])
-    one = "(" + " + ".join(f"o{a}" for a in range(s.n)) + ")"
-    oz = "(" + " + ".join(f"w{a}" for a in range(s.n)) + ")"
-    if not covariate:
-        s.step([("a00", one), ("i00", f"1.0 / {one}"), ("b0", f"{oz} / {one}")])
-        return ["b0"]
-    x = [f"{i / 10}" for i, _ in s.cells]
-    s.solve("x", x)
-    dot = lambda r: "(" + " + ".join(f"{x[a]} * {r}{a}" for a in range(s.n)) + ")"
-    s.step([("a00", one), ("a01", dot("o")), ("a11", dot("x")), ("g0", oz), ("g1", dot("w"))])
-    s.step([("det", "a00 * a11 - a01 * a01")])
-    s.step([("b0", "(a11 * g0 - a01 * g1) / det"), ("b1", "(a00 * g1 - a01 * g0) / det"), ("i00", "a11 / det"), ("i01", "-a01 / det"), ("i11", "a00 / det")])
-    return ["b0", "b1"]
-
-
-def gls(cells: list[tuple[int, int]], covariate: bool) -> str:
-    s = Solution(cells)
-    b = _trend(s, covariate)
-    return s.text("select cast(k as int) k, round(b, 6) + 0.0 b from (" + " union all ".join(f"select {k} k, {c} b from {s.at}" for k, c in enumerate(b)) + ")")
-
-
-def kriging(cells: list[tuple[int, int]], covariate: bool = False, variance: bool = False) -> str:
-    s = Solution(cells)
-    _trend(s, covariate)
-    c = [s.cov("i", "j", i, j) for i, j in cells]
-    mean = "b0" + (" + b1 * i / 10.0" if covariate else "")
-    at = lambda a: "b0" + (f" + b1 * {cells[a][0] / 10}" if covariate else "")
-    # V^-1 (z - X b) from the solutions at hand
-    w = [f"(w{a} - b0 * o{a}" + (f" - b1 * x{a}" if covariate else "") + ")" for a in range(s.n)]
-    del at
-    p = f"{mean} + " + " + ".join(f"{c[a]} * {w[a]}" for a in range(s.n))
-    out = f"round({p}, 6) + 0.0 p"
+def kriging(table: str, name: str, covariate: bool = False, variance: bool = False, **grid) -> str:
+    """Predictions at all cells of the grid, with their variances if wanted; the covariate is i / 10."""
+    s = System(table, name, _right(covariate), cells=variance, **grid).add(*_trend(covariate))
+    m = 2 + covariate  # right sides before those of the cells
+    rest, mean = (f"r[{m}] - b0 * r[1]" + " - b1 * r[2]" * covariate), "b0" + " + b1 * ce.i / 10.0" * covariate
+    c = s.cov("so", "ce")
+    more = f", sum(e * r[{m} + x.c]) q, sum(e * r[1]) k0, sum(e * r[{m - 1}]) k1" if variance else ""
+    s.add(f"pr as (select x.c, ce.i, ce.j, any_value({mean}) m, sum(e * ({rest})) p{more} from (select ce.c, so.k, {c} e from ce, so, pars) x join ce on ce.c = x.c join so on so.k = x.k, tr group by all)")
     if not variance:
-        return s.text(f"select cast(i as int) i, cast(j as int) j, {out} from {s.at}, {ALL_CELLS}")
-    g = Solution(cells)
-    _trend(g, covariate)
-    g.step([(f"q{a}", "0.0") for a in range(g.n)])
-    g.ctes.append(f"cell as (select *, {', '.join(f'{x} k{a}' for a, x in enumerate(c))} from {g.at}, {ALL_CELLS})")
-    g.at = "cell"
-    g.solve("h", [f"k{a}" for a in range(g.n)], back=False)
-    r0 = "(1.0 - (" + " + ".join(f"k{a} * o{a}" for a in range(g.n)) + "))"
-    v = f"psill + {r0} * {r0} * i00"
+        return s.text("select i, j, round(m + p, 6) + 0.0 p from pr")
+    v = "psill - q + (1.0 - k0) * (1.0 - k0) * i00"
     if covariate:
-        r1 = "(i / 10.0 - (" + " + ".join(f"k{a} * x{a}" for a in range(g.n)) + "))"
-        v += f" + 2 * {r0} * {r1} * i01 + {r1} * {r1} * i11"
-    v += " - (" + " + ".join(f"hf{a} * hf{a}" for a in range(g.n)) + ")"
-    return g.text(f"select cast(i as int) i, cast(j as int) j, {out}, round({v}, 6) + 0.0 v from {g.at}")
+        v += " + 2 * (1.0 - k0) * (i / 10.0 - k1) * i01 + (i / 10.0 - k1) * (i / 10.0 - k1) * i11"
+    return s.text(f"select i, j, round(m + p, 6) + 0.0 p, round({v}, 6) + 0.0 v from pr, tr, pars")
 
 
-def likelihood(cells: list[tuple[int, int]], pars: str, mean: float | None, columns: str) -> str:
+def likelihood(table: str, name: str, pars: str, mean: float | None, columns: str, **grid) -> str:
     """log_lik, aic, bic, quad_form, log_det of each parameter row."""
-    s = Solution(cells, pars=pars)
-    if mean is None:
-        _trend(s, False)
-        s.solve("r", [f"(z{a} - b0)" for a in range(s.n)], back=False)
-    else:
-        s.solve("r", [f"(z{a} - {mean})" for a in range(s.n)], back=False)
-    s.step([("quad_form", s.dot("rf", "rf")), ("log_det", "2 * (" + " + ".join(f"ln(l{a}_{a})" for a in range(s.n)) + ")")])
-    s.step([("log_lik", f"-0.5 * ({s.n} * ln(2 * pi()) + log_det + quad_form)"), ("n_pars", f"cast(4 + {int(mean is None)} - case when ry = rx then 1 else 0 end as int)"), ("n_obs", str(s.n))])
-    s.step([("aic", "-2 * log_lik + 2 * n_pars"), ("bic", f"-2 * log_lik + n_pars * ln({s.n})")])
-    return s.text(f"select {columns} from {s.at}")
+    s = System(table, name, "[1.0, a.v]" if mean is None else f"[1.0, a.v - {mean}]", pars, **grid)
+    s.add(*_trend(False))
+    b = "b0" if mean is None else "0"
+    value = "v" if mean is None else f"v - {mean}"
+    s.add(
+        f"qu as (select pid, any_value(n) n_obs, sum((({value}) - {b}) * (r[2] - {b} * r[1])) quad_form, sum(ln(pv)) log_det from so join tr using (pid) group by pid)",
+        f"li as (select *, -0.5 * (n_obs * ln(2 * pi()) + log_det + quad_form) log_lik, cast(4 + {int(mean is None)} - case when ry = rx then 1 else 0 end as int) n_pars from qu join pars using (pid))",
+        "re as (select *, -2 * log_lik + 2 * n_pars aic, -2 * log_lik + n_pars * ln(n_obs) bic from li)",
+    )
+    return s.text(f"select {columns} from re")

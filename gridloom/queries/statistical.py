@@ -11,7 +11,7 @@ from gridloom.model import Axis, Grid, Mean, Params
 from gridloom.operators import aggregate, display, kriging, likelihood, simulate, variogram
 from gridloom.plans import linalg
 from gridloom.queries import solve
-from gridloom.queries.grids import GAU, MIXED, SIX, SIX_LATTICE, T1, T3, some, t1, t2, t3, t4
+from gridloom.queries.grids import GAU, MIXED, T1, T2, T3, T5, t1, t2, t3, t4, t5
 from gridloom.queries.relational import query, six
 
 _ALL = f"""{T3}, ob as (select *, i + 50 * (j - 1) k from t3), pr as (select least(a.k, b.k) lo, greatest(a.k, b.k) hi, abs(a.v - b.v) dabs, abs(a.i - b.i) di, abs(a.j - b.j) dj, sqrt(pow(abs(a.i - b.i), 2) + pow(2.0 * abs(a.j - b.j), 2)) d
@@ -48,9 +48,14 @@ def _(spark, d):
     return variogram.neighbourhoods(spark, t1(spark, d), 4, 4, up=1, seed=5)
 
 
+def _pairs(spark, d, **how):
+    """All pairs of the cells of t3, of which there are 550 at most."""
+    return variogram.pairs(t3(spark, d), n_pp=550 * 549 // 2, **how)
+
+
 @query("vg5_pairs", f"with {_BINNED} select cast(lo as bigint) lo, cast(hi as bigint) hi, {six('dabs', 'd')}, cast(di as int) di, cast(dj as int) dj, bin from bn")
 def _(spark, d):
-    p = variogram.pairs(t3(spark, d))
+    p = _pairs(spark, d)
     return p.select(F.least("p1", "p2").alias("lo"), F.greatest("p1", "p2").alias("hi"), "dabs", "d", "di", "dj", "bin")
 
 
@@ -61,12 +66,12 @@ def _(spark, d):
 
 @query("vg7_bins", f"with {_BINNED} select bin, count(*) n, round(min(d), 6) + 0.0 d_min, round(max(d), 6) + 0.0 d_max from bn group by bin")
 def _(spark, d):
-    return variogram.pairs(t3(spark, d)).groupBy("bin").agg(F.count("*").alias("n"), F.min("d").alias("d_min"), F.max("d").alias("d_max"))
+    return _pairs(spark, d).groupBy("bin").agg(F.count("*").alias("n"), F.min("d").alias("d_min"), F.max("d").alias("d_max"))
 
 
 @query("vg8_widths", f"with {_ALL}, r as (select min(d) lo, max(d) hi from pr) select cast(least(floor((d - r.lo) / (r.hi - r.lo) * 10) + 1, 10) as int) bin, count(*) n from pr, r group by 1")
 def _(spark, d):
-    p = variogram.pairs(t3(spark, d), n_bin=1).drop("bin")
+    p = _pairs(spark, d, n_bin=1).drop("bin")
     return variogram.add_bins(p, 10, width=True).groupBy("bin").agg(F.count("*").alias("n"))
 
 
@@ -76,7 +81,7 @@ _STAT = {"classical": "avg(dabs * dabs)", "root_mean": "pow(avg(sqrt(dabs)), 4)
 def _stat_query(name: str, sql: str):
     @query(f"ag6_{name}", f"with {_BINNED} select bin, count(*) n, round(avg(d), 6) + 0.0 d_mean, round({sql}, 4) + 0.0 stat from bn group by bin")
     def _(spark, d):
-        return aggregate.bin_statistics(variogram.pairs(t3(spark, d)), name).withColumn("stat", F.round("stat", 4))  # squares of three digits tie at six
+        return aggregate.bin_statistics(_pairs(spark, d), name).withColumn("stat", F.round("stat", 4))  # squares of three digits tie at six
 
 
 for _n, _s in _STAT.items():
@@ -89,19 +94,19 @@ def _(spark, d):
     def largest(x: pd.Series) -> float:
         return float(x.max())
 
-    p = variogram.pairs(t3(spark, d))
+    p = _pairs(spark, d)
     own = p.groupBy("bin").agg(largest("dabs").alias("stat"))  # a user's aggregate stands alone in its plan
     return aggregate.bin_statistics(p).drop("stat").join(own, "bin")
 
 
 @query("pl3_semivariogram", f"with {_BINNED} select bin, count(*) n, round(avg(d), 6) + 0.0 d_mean, round(avg(dabs * dabs) / 2, 4) + 0.0 stat from bn where d < (select max(d) from pr) group by bin")
 def _(spark, d):
-    return variogram.semivariogram(variogram.pairs(t3(spark, d)))[0].withColumn("stat", F.round("stat", 4))
+    return variogram.semivariogram(_pairs(spark, d))[0].withColumn("stat", F.round("stat", 4))
 
 
 @query("pl3_ribbon")
 def _(spark, d):
-    return variogram.semivariogram(variogram.pairs(t3(spark, d)), GAU)[1]
+    return variogram.semivariogram(_pairs(spark, d), GAU)[1]
 
 
 @query("pl2_footprint", "select cast(a.i as int) i, cast(b.j as int) j, abs(a.i - 11.0) + 0.0 dy, 2.0 * abs(b.j - 6.0) + 0.0 dx, round(4.0 * exp(-pow((a.i - 11) / 6.0, 2)) * exp(-pow(2.0 * (b.j - 6) / 5.0, 2)) + case when a.i = 11 and b.j = 6 then 0.5 else 0 end, 6) + 0.0 cov from (select unnest(range(1, 22)) i) a, (select unnest(range(1, 12)) j) b")
@@ -111,7 +116,7 @@ def _(spark, d):
 
 @query("se2_union", f"with {_ALL}, un as (select dabs, d from pr where di > 5 union all select dabs, d from pr where dj > 3), br as (select quantile_cont(d, {_breaks(10)}) q from un) select bin, count(*) n, round(avg(d), 6) + 0.0 d_mean, round(avg(dabs * dabs), 4) + 0.0 stat from (select un.*, cast(len([b for b in q if b <= d]) as int) bin from un, br) group by bin")
 def _(spark, d):
-    p = variogram.pairs(t3(spark, d)).select("dabs", "d", "di", "dj")
+    p = _pairs(spark, d).select("dabs", "d", "di", "dj")
     both = p.where("di > 5").select("dabs", "d").unionByName(p.where("dj > 3").select("dabs", "d"))
     return aggregate.bin_statistics(variogram.add_bins(both, 10)).withColumn("stat", F.round("stat", 4))
 
@@ -209,46 +214,39 @@ def _(spark, d):
     return spark.createDataFrame([(a + 1, b + 1, float(v[a, b])) for a in range(12) for b in range(12)], "a int, b int, c double")
 
 
-@query("cv1_scaled", f"with {T3} select a.i ia, a.j ja, b.i ib, b.j jb, round(exp(-pow((a.i - b.i) / 6.0, 2)) * exp(-pow(2.0 * (a.j - b.j) / 5.0, 2)) + case when a.i = b.i and a.j = b.j then 0.125 else 0 end, 6) + 0.0 c from t3 a, t3 b where a.i = 5")
+@query("cv1_scaled", f"with {T3} select a.i ia, a.j ja, b.i ib, b.j jb, round(exp(-pow((a.i - b.i) / 6.0, 2)) * exp(-pow(2.0 * (a.j - b.j) / 5.0, 2)) + case when a.i = b.i and a.j = b.j then 0.125 else 0 end, 6) + 0.0 c from t3 a, t3 b")
 def _(spark, d):
     from gridloom.plans.strategy import collect
 
     obs = collect(t3(spark, d))
     v = linalg.covariance(GAU, obs.grid, obs.i, obs.j, scaled=True)
-    return spark.createDataFrame([(int(obs.i[a]), int(obs.j[a]), int(obs.i[b]), int(obs.j[b]), float(v[a, b])) for a in range(len(v)) if obs.i[a] == 5 for b in range(len(v))], "ia int, ja int, ib int, jb int, c double")
-
-
-_ORDER = sorted(SIX, key=lambda c: (c[1], c[0]))
+    a, b = np.indices(v.shape).reshape(2, -1)
+    return spark.createDataFrame(pd.DataFrame({"ia": obs.i[a], "ja": obs.j[a], "ib": obs.i[b], "jb": obs.j[b], "c": v.ravel()}), "ia int, ja int, ib int, jb int, c double")
 
 
-@query("cv3_factor", (lambda s: s.text(" union all ".join(f"select {a} a, {b} b, round(l{a}_{b}, 6) + 0.0 l from {s.at}" for a in range(6) for b in range(a + 1))))(solve.Solution(_ORDER)))
+@query("cv3_factor", solve.System(T3, "t3", "[1.0]").text("select g.i - 1 a, g.k - 1 b, round(g.r[1] / sqrt(p.r[1]), 6) + 0.0 l from gj g join gj p on p.k = g.k and p.i = p.k where g.i >= g.k and g.k <= g.n"))
 def _(spark, d):
     from gridloom.plans.strategy import collect
 
-    low = collect(some(spark, d)).factor(GAU).l
-    return spark.createDataFrame([(a, b, float(low[a, b])) for a in range(6) for b in range(a + 1)], "a int, b int, l double")
+    low = collect(t3(spark, d)).factor(GAU).l
+    a, b = np.tril_indices(len(low))
+    return spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "l": low[a, b]}), "a long, b long, l double")
 
 
-def _solved() -> str:
-    s = solve.Solution(SIX)
-    s.solve("w", [f"z{a}" for a in range(6)])
-    return s.text(" union all ".join(f"select {i} i, {j} j, round(w{a}, 6) + 0.0 v from {s.at}" for a, (i, j) in enumerate(SIX)))
-
-
-@query("cv5_solve", _solved())
+@query("cv5_solve", solve.System(T3, "t3", "[a.v]").text("select i, j, round(r[1], 6) + 0.0 v from so"))
 def _(spark, d):
     from gridloom.plans.strategy import collect
 
-    obs = collect(some(spark, d))
+    obs = collect(t3(spark, d))
     w = obs.factor(GAU).power(obs.z)[:, 0]
     return spark.createDataFrame([(int(i), int(j), float(v)) for i, j, v in zip(obs.i, obs.j, w)], "i int, j int, v double")
 
 
-@query("cv4_quadratic", (lambda s: (s.solve("w", [f"z{a}" for a in range(6)]), s.text("select round(" + " + ".join(f"z{a} * w{a}" for a in range(6)) + f", 6) + 0.0 q from {s.at}"))[1])(solve.Solution(SIX)))
+@query("cv4_quadratic", solve.System(T3, "t3", "[a.v]").text("select round(sum(v * r[1]), 6) + 0.0 q from so"))
 def _(spark, d):
     from gridloom.plans.strategy import collect
 
-    obs = collect(some(spark, d))
+    obs = collect(t3(spark, d))
     return spark.createDataFrame([(float((obs.factor(GAU, "eigen").half(obs.z) ** 2).sum()),)], "q double")
 
 
@@ -280,9 +278,9 @@ def _(spark, d):
 # -- kriging
 
 
-@query("es1_gls", solve.gls(SIX, False))
+@query("es1_gls", solve.gls(T3, "t3", False))
 def _(spark, d):
-    b = kriging.gls_coefficients(some(spark, d), GAU)
+    b = kriging.gls_coefficients(t3(spark, d), GAU)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(b)], "k int, b double")
 
 
@@ -290,86 +288,90 @@ def _covariate(spark, d):
     return t1(spark, d).cells.select("i", "j", F.array(F.col("i") / 10).alias("x"))
 
 
-@query("es1_gls_covariate", solve.gls(SIX, True))
+@query("es1_gls_covariate", solve.gls(T3, "t3", True))
 def _(spark, d):
-    b = kriging.gls_coefficients(some(spark, d), GAU, Mean.covariates(_covariate(spark, d)))
+    b = kriging.gls_coefficients(t3(spark, d), GAU, Mean.covariates(_covariate(spark, d)))
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(b)], "k int, b double")
 
 
-@query("es2_simple", solve.simple(SIX, 38.0))
+@query("es2_simple", solve.simple(T3, "t3", 38.0))
 def _(spark, d):
-    return kriging.krige(spark, some(spark, d), GAU, Mean.known(38.0), detrend=True)
+    return kriging.krige(spark, t3(spark, d), GAU, Mean.known(38.0), detrend=True)
 
 
-@query("es3_ordinary", solve.kriging(SIX))
+@query("es3_ordinary", solve.kriging(T3, "t3"))
 def _(spark, d):
-    return kriging.krige(spark, some(spark, d), GAU)
+    return kriging.krige(spark, t3(spark, d), GAU)
 
 
-@query("es4_universal", solve.kriging(SIX, True))
+@query("es4_universal", solve.kriging(T3, "t3", True))
 def _(spark, d):
-    return kriging.krige(spark, some(spark, d), GAU, Mean.covariates(_covariate(spark, d)))
+    return kriging.krige(spark, t3(spark, d), GAU, Mean.covariates(_covariate(spark, d)))
 
 
-@query("es5_variance", solve.kriging(SIX, False, True))
+@query("es5_variance", solve.kriging(T3, "t3", False, True))
 def _(spark, d):
-    return kriging.krige(spark, some(spark, d), GAU, variance=True)
+    return kriging.krige(spark, t3(spark, d), GAU, variance=True)
 
 
-@query("es5_universal", solve.kriging(SIX, True, True))
+@query("es5_universal", solve.kriging(T3, "t3", True, True))
 def _(spark, d):
-    return kriging.krige(spark, some(spark, d), GAU, Mean.covariates(_covariate(spark, d)), variance=True)
+    return kriging.krige(spark, t3(spark, d), GAU, Mean.covariates(_covariate(spark, d)), variance=True)
+
 
+_T2 = {"dim": (13, 21), "res": (1.0, 1.0)}
 
-@query("es6_lattice", solve.kriging(SIX_LATTICE, False, True))
+
+@query("es6_lattice", solve.kriging(T2, "t2", False, True, **_T2))
 def _(spark, d):
     """The cells form a coarse lattice, so the separable path answers; SQL has the dense one."""
-    return kriging.krige(spark, some(spark, d, SIX_LATTICE), GAU, variance=True)
+    return kriging.krige(spark, t2(spark, d), GAU, variance=True)
 
 
 @query("es3_layers")
 def _(spark, d):
-    g = t4(spark, d)
-    return kriging.krige(spark, g.with_cells(g.cells.where("(i * 7 + j * 3) % 11 = 0")), GAU)
+    return kriging.krige(spark, t4(spark, d), GAU)
 
 
-@query("ds1_down_scale")
+@query("ds1_down_scale", solve.kriging(T2, "t2", False, True, **_T2))
 def _(spark, d):
-    return kriging.krige(spark, t2(spark, d), GAU, variance=True)
+    return kriging.down_scaled(spark, t5(spark, d), 2, GAU, variance=True)[1]
 
 
-@query("dt1_detrend", "with " + ",\n ".join((lambda s: (solve._trend(s, False), s.ctes)[1])(solve.Solution(SIX))) + " select i, j, round(v - b0, 6) + 0.0 v from t1, " + (lambda s: (solve._trend(s, False), s.at)[1])(solve.Solution(SIX)) + " where (i, j) in (" + ", ".join(f"({i}, {j})" for i, j in SIX) + ")")
+@query("dt1_detrend", solve.detrended(T3, "t3"))
 def _(spark, d):
-    return kriging.detrended(spark, some(spark, d), GAU).cells
+    return kriging.detrended(spark, t3(spark, d), GAU).cells
 
 
 # -- likelihood
 
-_PARS = "select 6.0 ry, 5.0 rx, 4.0 psill, 0.5 eps"
-_LIK = "round(log_lik, 6) + 0.0 log_lik, round(aic, 6) + 0.0 aic, round(bic, 6) + 0.0 bic, round(quad_form, 6) + 0.0 quad_form, round(log_det, 6) + 0.0 log_det, n_obs, n_pars, 1 n_layer"
+_LIK = "round(log_lik, 6) + 0.0 log_lik, round(aic, 6) + 0.0 aic, round(bic, 6) + 0.0 bic, round(quad_form, 6) + 0.0 quad_form, round(log_det, 6) + 0.0 log_det, cast(n_obs as int) n_obs, n_pars, 1 n_layer"
 
 
-@query("ll1_known", solve.likelihood(SIX, _PARS, 38.0, _LIK))
+@query("ll1_known", solve.likelihood(T3, "t3", solve.PARS, 38.0, _LIK))
 def _(spark, d):
-    return likelihood.as_table(spark, likelihood.log_likelihood(some(spark, d), GAU, Mean.known(38.0)))
+    return likelihood.as_table(spark, likelihood.log_likelihood(t3(spark, d), GAU, Mean.known(38.0)))
 
 
-@query("ll1_profile", solve.likelihood(SIX, _PARS, None, _LIK))
+@query("ll1_profile", solve.likelihood(T3, "t3", solve.PARS, None, _LIK))
 def _(spark, d):
-    return likelihood.as_table(spark, likelihood.log_likelihood(some(spark, d), GAU, Mean.constant(), method="eigen"))
+    return likelihood.as_table(spark, likelihood.log_likelihood(t3(spark, d), GAU, Mean.constant(), method="eigen"))
+
+
+_SURFACE = "select row_number() over () pid, 4.0 psill, 0.5 eps, ry, rx from (select unnest([2.0, 4.0, 6.0, 9.0]) ry) a, (select unnest([3.0, 5.0, 8.0]) rx) b"
 
 
-_SURFACE = "select 4.0 psill, 0.5 eps, ry, rx from (select unnest([2.0, 4.0, 6.0, 9.0]) ry) a, (select unnest([3.0, 5.0, 8.0]) rx) b"
+_T5 = {"dim": (7, 11), "res": (2.0, 2.0)}
 
 
-@query("ll3_surface", solve.likelihood(SIX, _SURFACE, 38.0, 'ry + 0.0 as y_rho, rx + 0.0 as x_rho, round(-log_lik, 6) + 0.0 nll'))
+@query("ll3_surface", solve.likelihood(T5, "t5", _SURFACE, 38.0, "ry + 0.0 as y_rho, rx + 0.0 as x_rho, round(-log_lik, 6) + 0.0 nll", **_T5))
 def _(spark, d):
-    return likelihood.surface(spark, some(spark, d), GAU, {"y.rho": [2.0, 4.0, 6.0, 9.0], "x.rho": [3.0, 5.0, 8.0]}, Mean.known(38.0)).drop("p")
+    return likelihood.surface(spark, t5(spark, d), GAU, {"y.rho": [2.0, 4.0, 6.0, 9.0], "x.rho": [3.0, 5.0, 8.0]}, Mean.known(38.0)).drop("p")
 
 
-@query("st2_arg_min", "with s as (" + solve.likelihood(SIX, _SURFACE, 38.0, 'ry + 0.0 as yr, rx + 0.0 as xr, round(-log_lik, 6) + 0.0 nll') + ") select yr, xr, nll from s order by nll limit 1")
+@query("st2_arg_min", solve.likelihood(T5, "t5", _SURFACE, 38.0, "ry + 0.0 as yr, rx + 0.0 as xr, round(-log_lik, 6) + 0.0 nll", **_T5) + " order by nll limit 1")
 def _(spark, d):
-    s = likelihood.surface(spark, some(spark, d), GAU, {"y.rho": [2.0, 4.0, 6.0, 9.0], "x.rho": [3.0, 5.0, 8.0]}, Mean.known(38.0))
+    s = likelihood.surface(spark, t5(spark, d), GAU, {"y.rho": [2.0, 4.0, 6.0, 9.0], "x.rho": [3.0, 5.0, 8.0]}, Mean.known(38.0))
     return s.orderBy("nll").limit(1).select(F.col("y_rho").alias("yr"), F.col("x_rho").alias("xr"), "nll")
 
 
@@ -382,7 +384,7 @@ def _(spark, d):
 
 @query("ft2_one")
 def _(spark, d):
-    f = likelihood.fit(t2(spark, d), {"y": {"k": "exp", "rho": None}, "x": {"k": "exp", "rho": None}, "psill": 4.0, "eps": 0.5}, iso=True)
+    f = likelihood.fit(t5(spark, d), {"y": {"k": "exp", "rho": None}, "x": {"k": "exp", "rho": None}, "psill": 4.0, "eps": 0.5}, iso=True)
     return spark.createDataFrame([(f.params.y.rho, f.nll, f.initial_nll, f.improved)], "rho double, nll double, initial_nll double, improved boolean")
 
 

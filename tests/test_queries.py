@@ -49,5 +49,5 @@ def test_entry(spark):
     import __spark_entry__
 
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["i", "j", "p", "v"] and df.count() == 550
+    assert df.columns == ["i", "j", "p", "v"] and df.count() == 13 * 21
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
