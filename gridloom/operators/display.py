@@ -13,6 +13,9 @@ from gridloom.model import Grid, Params, present
 from gridloom.operators.index import layer as one_layer
 from gridloom.operators.index import up_scale
 
+#: Distinct names that a display may have.
+NAMES = 10_000
+
 
 def pretty(low: float, high: float, n: int = 5) -> list[float]:
     """About n round ticks that cover a range."""
@@ -42,7 +45,9 @@ def heatmap(grid: Grid, layer: int = 1, px_max: int = 2000, n_colour: int = 1000
     if kind == "boolean":
         return g, cells.withColumn("level", F.col("v").cast("int") + 1), [False, True]
     if kind == "string":
-        names = sorted(r[0] for r in cells.select("v").distinct().collect())
+        names = sorted(r[0] for r in cells.select("v").distinct().limit(NAMES + 1).collect())
+        if len(names) > NAMES:
+            raise ValueError(f"over {NAMES} distinct names are no levels of a display")
         return g, cells.withColumn("level", F.array_position(F.lit(names), F.col("v")).cast("int")), names
     low, high = cells.agg(F.min("v"), F.max("v")).first()
     if low is None:

@@ -67,26 +67,38 @@ def sub_grid(spark: SparkSession, grid: Grid, keep: dict[str, list[int]] | None
     return meta.with_cells(grid.cells.where(inside).select((F.floor((F.col("i") - i0) / si) + 1).cast("int").alias("i"), (F.floor((F.col("j") - j0) / sj) + 1).cast("int").alias("j"), "v"))
 
 
-def trim(spark: SparkSession, grid: Grid) -> dict[str, tuple[int, int]]:
+def trim(spark: SparkSession, grid: Grid, batch: int = 128) -> dict[str, tuple[int, int]]:
     """Line ranges without a missing cell: the outer line with the largest missing share goes, again and again.
 
-    Only line-wise presence leaves the cluster: per column, its cells as runs. Ties: rows before columns, first
-    side before last.
+    Ties: rows before columns, first side before last. Lines go in batches. For one, the driver gets the numbers of
+    present cells in the outermost `batch` lines of each side, and the cells where two such lines cross, from
+    aggregates of the cells that are left: 4 batch numbers and 4 batch^2 cells at most, whatever the grid's size.
     """
-    cells = present(grid.cells)
-    w = Window.partitionBy("j").orderBy("i")
-    runs = cells.select("i", "j").withColumn("g", F.col("i") - F.row_number().over(w)).groupBy("j", "g").agg(F.min("i").alias("a"), F.max("i").alias("b")).collect()
-    here = np.zeros((grid.ny, grid.nx), bool)
-    for r in runs:
-        here[r.a - 1 : r.b, r.j - 1] = True
-    total = np.zeros((grid.ny + 1, grid.nx + 1), np.int64)
-    total[1:, 1:] = (~here).cumsum(0).cumsum(1)
-    lost = lambda a, b, c, d: int(total[b, d] - total[a, d] - total[b, c] + total[a, c])
+    cells = present(grid.cells).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"))
     a, b, c, d = 0, grid.ny, 0, grid.nx
-    while a < b and c < d and lost(a, b, c, d):
-        shares = [lost(a, a + 1, c, d) / (d - c), lost(b - 1, b, c, d) / (d - c), lost(a, b, c, c + 1) / (b - a), lost(a, b, d - 1, d) / (b - a)]
-        worst = int(np.argmax(shares))
-        a, b, c, d = a + (worst == 0), b - (worst == 1), c + (worst == 2), d - (worst == 3)
+    while a < b and c < d:
+        box = cells.where(F.col("i").between(a, b - 1) & F.col("j").between(c, d - 1))
+        outer = {"i": (F.col("i") < a + batch) | (F.col("i") >= b - batch), "j": (F.col("j") < c + batch) | (F.col("j") >= d - batch)}
+        missing = (b - a) * (d - c) - box.count()
+        here = {x: dict(box.where(on).groupBy(x).count().collect()) for x, on in outer.items()}
+        crossing: dict[tuple[str, int], list[int]] = {}
+        for r in box.where(outer["i"] & outer["j"]).collect():
+            crossing.setdefault(("i", r.i), []).append(r.j)
+            crossing.setdefault(("j", r.j), []).append(r.i)
+        for _ in range(batch):
+            if not missing or a >= b or c >= d:
+                break
+            lines = [("i", a, d - c), ("i", b - 1, d - c), ("j", c, b - a), ("j", d - 1, b - a)]
+            lost = [size - here[x].get(k, 0) for x, k, size in lines]
+            worst = int(np.argmax([n / size for n, (_, _, size) in zip(lost, lines)]))
+            x, k, _ = lines[worst]
+            missing -= lost[worst]
+            other = here["j" if x == "i" else "i"]
+            for m in crossing.get((x, k), ()):
+                other[m] -= 1
+            a, b, c, d = a + (worst == 0), b - (worst == 1), c + (worst == 2), d - (worst == 3)
+        if not missing:
+            break
     if a >= b or c >= d:
         raise ValueError("no line is left without missing cells")
     return {"i": (a + 1, b), "j": (c + 1, d)}

@@ -12,13 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.kernels import first_row
 from gridloom.model import Grid, Mean, Params
-from gridloom.plans.linalg import N_MAX, Dense, Separable, run_tiles
-from gridloom.plans.strategy import Observed, collect
+from gridloom.plans.linalg import N_MAX, Dense, Separable, listed_power, run_tiles, toeplitz_cells
+from gridloom.plans.strategy import Observed, TooMany, collect
 
 #: Cross-covariance entries that a tile holds at once.
 TILE_ENTRIES = 4_000_000
@@ -40,12 +41,33 @@ def design(obs: Observed, mean: Mean) -> np.ndarray:
     one = np.ones((len(obs.i), 1))
     if mean.kind != "covariates":
         return one
-    want = obs.grid.cells.select("i", "j").join(mean.value.select("i", "j", "x"), ["i", "j"], "left").toArrow()
-    rows = {(i, j): x for i, j, x in zip(*(want.column(c).to_pylist() for c in ("i", "j", "x")))}
-    x = [rows[i, j] for i, j in zip(obs.i.tolist(), obs.j.tolist())]
-    if any(r is None or any(v is None for v in r) for r in x):
+    x = _aligned(obs, mean.value, "x")
+    if np.isnan(x).any():
         raise ValueError("a covariate is missing at an observed cell")
-    return np.hstack([one, np.array(x, float).reshape(len(x), -1)])
+    return np.hstack([one, x])
+
+
+def _aligned(obs: Observed, table: DataFrame, column: str) -> np.ndarray:
+    """A column of a table (i, j, column) at the observed cells, a row each; NaN where it is missing."""
+    got = obs.grid.cells.select("i", "j").join(table.select("i", "j", column), ["i", "j"]).toArrow().combine_chunks()
+    values = got.column(column).combine_chunks()
+    if pa.types.is_list(values.type):
+        width = len(values[0]) if len(values) else 1
+        if pa.compute.any(pa.compute.not_equal(pa.compute.fill_null(pa.compute.list_value_length(values), -1), width)).as_py():
+            raise ValueError("a covariate is missing at an observed cell")
+        values = values.flatten()
+    else:
+        width = 1
+    x = values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+    key = lambda i, j: np.asarray(i, np.int64) + np.int64(obs.grid.ny) * (np.asarray(j, np.int64) - 1)
+    there = key(got.column("i").to_numpy(), got.column("j").to_numpy())
+    order, want = np.argsort(there), key(obs.i, obs.j)
+    at = np.minimum(np.searchsorted(there[order], want), max(0, len(there) - 1))
+    out = np.full((len(want), width), np.nan)
+    if len(there):
+        hit = there[order][at] == want
+        out[hit] = x[order][at[hit]]
+    return out
 
 
 def gls(obs: Observed, factor: Dense | Separable, mean: Mean) -> Trend:
@@ -86,9 +108,9 @@ def _tile_function(obs: Observed, params: Params, grid: Grid, factor: Dense | Se
     right = np.hstack([w, vx]) if p else w
 
     def batch(i: np.ndarray, j: np.ndarray, s: np.ndarray, q: np.ndarray | None) -> pa.RecordBatch:
-        lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).ravel()), max(1, m.shape[1])).cast(pa.list_(pa.float64()))
-        a = lists(s[:, layers:]) if p else pa.nulls(len(i), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), lists(s[:, :layers]), a, pa.array(q) if q is not None else pa.nulls(len(i), pa.float64())], ["i", "j", "s", "a", "q"])
+        out = {"i": i.astype(np.int32), "j": j.astype(np.int32)}
+        out |= {f"s{k}": s[:, k] for k in range(layers)} | {f"a{k}": s[:, layers + k] for k in range(p)}
+        return pa.RecordBatch.from_pydict(out | ({"q": q} if q is not None else {}))
 
     if isinstance(factor, Separable):
         li, lj = (np.array(lines[a]) for a in "ij")
@@ -108,7 +130,7 @@ def _tile_function(obs: Observed, params: Params, grid: Grid, factor: Dense | Se
 
         return lattice, -(-grid.ny // rows)
 
-    half = (np.linalg.inv(factor.l) if factor.method == "chol" else (factor.vectors / np.sqrt(factor.values)).T) if variance else None
+    half = (factor.inverse if factor.method == "chol" else (factor.vectors / np.sqrt(factor.values)).T) if variance else None
     size = max(1, TILE_ENTRIES // max(1, n))
 
     def listed(t: int):
@@ -128,8 +150,14 @@ def krige(
     Mean.known: simple kriging; the data must have that mean taken off already, unless ``detrend``. Mean.constant:
     ordinary; Mean.covariates: universal kriging, at the cells that have covariates. Predictions carry no nugget,
     so they smooth at observed cells, and the variance leaves it out. Layers share one factor and give arrays.
+    More listed cells than n_max are solved for as a distributed table: predictions of one layer, simple or ordinary.
     """
-    obs = collect(grid, n_max, separable)
+    try:
+        obs = collect(grid, n_max, separable)
+    except TooMany:
+        if variance or grid.layered or not prediction or mean.kind == "covariates" or isinstance(mean.value, DataFrame):
+            raise
+        return _krige_distributed(grid, params, mean, detrend)
     factor = obs.factor(params, method)
     z, b, trend = obs.z, None, None
     if mean.kind != "known":
@@ -140,7 +168,8 @@ def krige(
         z = z - _known_at(obs, mean)[:, None]
     w = factor.power(z)
     f, n = _tile_function(obs, params, grid, factor, w, trend.whitened if trend and variance else None, variance)
-    out = run_tiles(spark, n, f, "i int, j int, s array<double>, a array<double>, q double")
+    names = [f"s{k}" for k in range(w.shape[1])] + [f"a{k}" for k in range(trend.whitened.shape[1] if trend and variance else 0)] + ["q"] * variance
+    out = run_tiles(spark, n, f, "i int, j int, " + ", ".join(f"{c} double" for c in names))
     if mean.kind == "covariates":
         out = out.join(mean.value.select("i", "j", "x"), ["i", "j"])
     columns = []
@@ -153,24 +182,39 @@ def krige(
                 add = [F.lit(float(mean.value))] * w.shape[1]
         else:
             add = [_dot(F.col("x"), b[:, k]) if mean.kind == "covariates" else F.lit(float(b[0, k])) for k in range(w.shape[1])]
-        each = [F.get("s", F.lit(k)) + a for k, a in enumerate(add)]
+        each = [F.col(f"s{k}") + a for k, a in enumerate(add)]
         columns.append((F.array(*each) if grid.layered else each[0]).alias("p"))
     if variance:
         v = F.lit(float(params.psill)) - F.col("q")
         if trend is not None:
             m = trend.inverse
             x = [F.lit(1.0), *(F.get("x", F.lit(k)) for k in range(len(m) - 1))]
-            r = [c - F.get("a", F.lit(k)) for k, c in enumerate(x)]
+            r = [c - F.col(f"a{k}") for k, c in enumerate(x)]
             v = v + reduce(lambda a, t: a + t, [r[a] * r[c] * float(m[a, c]) for a in range(len(m)) for c in range(len(m))])
         columns.append(v.alias("v"))
     return out.select("i", "j", *columns)
 
 
+def _krige_distributed(grid: Grid, params: Params, mean: Mean, detrend: bool) -> DataFrame:
+    """(i, j, p) from conjugate gradients on the cells and FFTs along the grid's lines."""
+    from gridloom.model import present
+
+    cells = present(grid.cells).select("i", "j", "v")
+    if mean.kind == "known":
+        add = float(mean.value)
+        w = listed_power(cells.withColumn("v", F.col("v") - add) if detrend else cells, params, grid)
+    else:
+        one, z = listed_power(cells.withColumn("v", F.lit(1.0)), params, grid), listed_power(cells, params, grid)
+        total = lambda df: df.agg(F.sum("v")).first()[0]
+        add = total(z) / total(one)
+        w = z.join(one.withColumnRenamed("v", "_o"), ["i", "j"]).select("i", "j", (F.col("v") - add * F.col("_o")).alias("v"))
+    return toeplitz_cells(w, params, grid).select("i", "j", (F.col("v") + add).alias("p"))
+
+
 def _known_at(obs: Observed, mean: Mean) -> np.ndarray:
     if not isinstance(mean.value, DataFrame):
         return np.full(len(obs.i), float(mean.value))
-    rows = {(r.i, r.j): r["mean"] for r in obs.grid.cells.select("i", "j").join(mean.value, ["i", "j"]).collect()}
-    return np.array([rows[i, j] for i, j in zip(obs.i.tolist(), obs.j.tolist())], float)
+    return _aligned(obs, mean.value, "mean")[:, 0]
 
 
 def down_scaled(spark: SparkSession, grid: Grid, down: int | tuple[int, int], params: Params, mean: Mean = Mean.constant(), **how) -> tuple[Grid, DataFrame]:

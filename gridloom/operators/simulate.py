@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import Grid, Mean, Params, present, spine
 from gridloom.operators.likelihood import evaluate
-from gridloom.plans.linalg import Dense, covariance, normal_noise, separable_power
+from gridloom.plans.linalg import N_MAX, Dense, covariance, normal_noise, separable_power
 from gridloom.plans.strategy import Observed
 
 
@@ -21,27 +22,36 @@ def simulate(spark: SparkSession, grid: Grid, params: Params, n_layer: int = 1,
     layers = [separable_power(normal_noise(cells, grid, seed, k), params, grid, 0.5) for k in range(1, n_layer + 1)]
     if n_layer == 1:
         return grid.with_cells(layers[0])
-    out = layers[0].withColumnRenamed("v", "_1")
-    for k, one in enumerate(layers[1:], 2):
-        out = out.join(one.withColumnRenamed("v", f"_{k}"), ["i", "j"])
-    return grid.with_cells(out.select("i", "j", F.array(*(f"_{k}" for k in range(1, n_layer + 1))).alias("v")))
+    # one shuffle for all layers
+    every = reduce(DataFrame.unionByName, [one.withColumn("lyr", F.lit(k)) for k, one in enumerate(layers)])
+    both = every.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("lyr", "v"))).alias("v"))
+    return grid.with_cells(both.select("i", "j", F.col("v.v").alias("v")))
 
 
-def folds(grid: Grid, n_fold: int = 5, n_rep: int = 25, seed: int = 0) -> DataFrame:
+def folds(grid: Grid, n_fold: int = 5, n_rep: int = 25, seed: int = 0, bucket_rows: int = 50_000) -> DataFrame:
     """(rep, i, j, v, fold): cells in a hash order, floor(n / n_fold) to a fold; what is left over is never held out (fold 0)."""
     cells = present(grid.cells)
-    per = cells.count() // n_fold
-    reps = cells.select("i", "j", "v", F.explode(F.sequence(F.lit(1), F.lit(n_rep))).alias("rep"))
-    w = Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", grid.k()), grid.k())
-    nth = F.row_number().over(w)
-    return reps.withColumn("n", nth).select("rep", "i", "j", "v", F.when(F.col("n") <= per * n_fold, F.floor((F.col("n") - 1) / max(per, 1)) + 1).otherwise(0).cast("int").alias("fold"))
+    n = cells.count()
+    per, bits = n // n_fold, max(0, math.ceil(math.log2(max(n, 1) / bucket_rows)))
+    h = F.xxhash64(F.lit(seed), "rep", grid.k())
+    reps = cells.select("i", "j", "v", F.explode(F.sequence(F.lit(1), F.lit(n_rep))).alias("rep")).withColumn("h", h)
+    # ranks within ranges of the hash, and the rows of the ranges before: no repetition is sorted in one task
+    reps = reps.withColumn("part", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    sizes = reps.groupBy("rep", "part").agg(F.count("*").alias("c"))
+    before = sizes.select("rep", "part", F.sum("c").over(Window.partitionBy("rep").orderBy("part")).alias("to"), "c").select("rep", "part", (F.col("to") - F.col("c")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("rep", "part").orderBy("h", grid.k()))
+    ranked = reps.withColumn("n", nth).join(before, ["rep", "part"]).withColumn("n", F.col("n") + F.col("before"))
+    return ranked.select("rep", "i", "j", "v", F.when(F.col("n") <= per * n_fold, F.floor((F.col("n") - 1) / max(per, 1)) + 1).otherwise(0).cast("int").alias("fold"))
 
 
 def cross_validate(grid: Grid, models: dict[str, Params], n_fold: int = 5, n_rep: int = 5, seed: int = 0, log_scale: bool = False) -> DataFrame:
     """(model, mspe, msdr, rmspe, aic, bic) of ordinary kriging, each held-out fold predicted from the others only.
 
-    Every model and repetition is a group; log_scale: errors of exp(p + v / 2) against exp(z) as mspe_b as well.
+    Every model and repetition is a group, so there may be N_MAX cells at most; log_scale: errors of exp(p + v / 2) against exp(z) as mspe_b as well.
     """
+    n_obs = present(grid.cells).count()
+    if n_obs > N_MAX:
+        raise ValueError(f"{n_obs} observed cells are over {N_MAX}, the bound of a dense factor in a task; validate a sub-grid")
     meta = Grid(grid.ny, grid.nx, grid.dy, grid.dx, grid.y0, grid.x0)
     rows = folds(grid, n_fold, n_rep, seed)
     spark = rows.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,7 @@ class Dense:
     def __post_init__(self) -> None:
         if self.method == "chol":
             self.l = np.linalg.cholesky(self.v)
+            self.inverse = np.linalg.inv(self.l)  # used for every right side
         else:
             self.values, self.vectors = np.linalg.eigh(self.v)
             if self.values.min() <= 0:
@@ -54,13 +56,13 @@ class Dense:
         if self.method == "chol":
             if p != -1:
                 raise ValueError("powers other than -1 need the eigen method")
-            return np.linalg.solve(self.l.T, np.linalg.solve(self.l, z))
+            return self.inverse.T @ (self.inverse @ z)
         return self.vectors @ ((self.values**p)[(slice(None),) + (None,) * (z.ndim - 1)] * (self.vectors.T @ z))
 
     def half(self, z: np.ndarray) -> np.ndarray:
         """A whitening of z: its squares sum to z' V^-1 z."""
         if self.method == "chol":
-            return np.linalg.solve(self.l, z)
+            return self.inverse @ z
         return (self.values**-0.5)[(slice(None),) + (None,) * (z.ndim - 1)] * (self.vectors.T @ z)
 
     def log_det(self) -> float:
@@ -161,6 +163,36 @@ def toeplitz_cells(cells: DataFrame, params: Params, grid: Grid) -> DataFrame:
     return _along(one, "j", lambda at, v: toeplitz(cx, _dense_line(at, v, len(cx)))[:, 0]).withColumn("v", F.col("v") * params.psill)
 
 
+def checkpoints(spark) -> None:
+    """Sees to a checkpoint folder: spark.checkpoint.dir, or, on one machine, one of our own where it is unset."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="gridloom-"))
+
+
+def listed_power(cells: DataFrame, params: Params, grid: Grid, tolerance: float = 1e-9, rounds: int = 1000) -> DataFrame:
+    """V^-1 z of any observed cells (i, j, v), distributed, by conjugate gradients: each step is one `toeplitz_cells`.
+
+    Rounds go on until the residual is `tolerance` of z, about as many as the root of V's condition number asks for.
+    """
+    checkpoints(cells.sparkSession)
+    at = cells.select("i", "j", F.lit(0.0).alias("x"), F.col("v").cast("double").alias("r"), F.col("v").cast("double").alias("p")).checkpoint()
+    first = old = at.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    for _ in range(rounds):
+        if old <= tolerance**2 * first:
+            return at.select("i", "j", F.col("x").alias("v"))
+        spread_out = toeplitz_cells(at.select("i", "j", F.col("p").alias("v")), params, grid).withColumnRenamed("v", "q")
+        both = at.join(spread_out, ["i", "j"]).withColumn("q", F.col("q") + params.eps * F.col("p")).checkpoint()
+        step = old / both.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        moved = both.select("i", "j", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p")
+        new = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        at, old = moved.withColumn("p", F.col("r") + new / old * F.col("p")), new
+    raise ValueError(f"no solution to {tolerance} in {rounds} rounds; a larger nugget helps")
+
+
 def spread(weights: DataFrame, params: Params, grid: Grid) -> DataFrame:
     """psill Cy W Cx of sparse weights (i, j, v) at all cells, by two aggregations of Columns and no Python.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
 from gridloom.model import Grid, create
 from gridloom.operators import aggregate, display, index, snap
+from gridloom.plans import linalg
 from gridloom.queries.grids import GAU, T1, T2, T3, T4, T6, T8, rounded, t1, t2, t3, t4, t6, t8, table
 from gridloom.sources import tables
 
@@ -91,6 +94,28 @@ def _(spark, d):
     return tables.export(spark, t4(spark, d), layer=2)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    linalg.checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/points-{uuid.uuid4().hex}"
+
+
+@query("io9_points", f"with {T6} select pt_id, {six('y', 'x')}, case when v > 20 then null else round(v, 6) + 0.0 end v from pts")
+def _(spark, d):
+    """Points written as parquet with NaN for what is missing, and read again in the reference system that all inputs share."""
+    path, crs = _folder(spark), tables.require_crs("local", None, "local")
+    tables.write(t6(spark, d).withColumn("v", F.when(F.col("v") > 20, float("nan")).otherwise(F.col("v"))), path, "parquet", ("pt_id",))
+    return tables.read_points(spark, path).where(F.lit(crs) == "local")
+
+
+@query("io10_csv", f"with {T1} select cast(j + 11 * (i - 1) as bigint) as \"row\", {YX}, {six('v')} from t1")
+def _(spark, d):
+    """A grid's cells in raster order, written as CSV and read again."""
+    path = _folder(spark)
+    tables.write(tables.export(spark, t1(spark, d)), path, "csv")
+    return tables.read_points(spark, path, "csv", '`row` long, y double, x double, v double')
+
+
 @query("io8_coords", f"with {T3} select cast(i + 50 * (j - 1) as bigint) k, {YX}, {six('v')} from t3")
 def _(spark, d):
     return tables.coordinates(spark, t3(spark, d), na_omit=True)
@@ -269,7 +294,10 @@ def _(spark, d):
     return _centred(spark, d).cells.select("i", "j", scalar.lgamma(x).alias("f_lgamma"), scalar.gamma(x).alias("f_gamma"), F.round(scalar.digamma(x), 5).alias("f_digamma"))
 
 
-@query("fn1_trigamma")
+_Y = "(1 + abs(u) + 20)"
+
+
+@query("fn1_trigamma", f"with {_U} select i, j, round(list_sum(list_transform(range(0, 20), lambda k: 1 / pow(1 + abs(u) + k, 2))) + 1 / {_Y} + 1 / (2 * pow({_Y}, 2)) + 1 / (6 * pow({_Y}, 3)) - 1 / (30 * pow({_Y}, 5)) + 1 / (42 * pow({_Y}, 7)), 6) + 0.0 f_trigamma from u")
 def _(spark, d):
     x = 1 + F.abs("v")
     return _centred(spark, d).cells.select("i", "j", scalar.trigamma(x).alias("f_trigamma"))

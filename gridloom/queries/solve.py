@@ -98,6 +98,17 @@ def kriging(table: str, name: str, covariate: bool = False, variance: bool = Fal
     return s.text(f"select i, j, round(m + p, 6) + 0.0 p, round({v}, 6) + 0.0 v from pr, tr, pars")
 
 
+def layers(table: str, name: str, n: int, **grid) -> str:
+    """Ordinary kriging of the layers v1 to vn, each with a mean of its own."""
+    values = [f"v{k}" for k in range(1, n + 1)]
+    one = f"{name}_v as (select i, j, [{', '.join(values)}] v from {name})"
+    s = System(f"{table}, {one}", f"{name}_v", "[1.0] || a.v", **grid)
+    s.add(f"tr as (select {', '.join(f'sum(r[{k + 1}]) / sum(r[1]) b{k}' for k in range(1, n + 1))} from so)")
+    p = [f"any_value(b{k}) + sum({s.cov('so', 'ce')} * (r[{k + 1}] - b{k} * r[1])) p{k}" for k in range(1, n + 1)]
+    s.add(f"pr as (select ce.i, ce.j, {', '.join(p)} from ce, so, pars, tr group by all)")
+    return s.text(" union all ".join(f"select i, j, {k} lyr, round(p{k}, 6) + 0.0 p from pr" for k in range(1, n + 1)))
+
+
 def likelihood(table: str, name: str, pars: str, mean: float | None, columns: str, **grid) -> str:
     """log_lik, aic, bic, quad_form, log_det of each parameter row."""
     s = System(table, name, "[1.0, a.v]" if mean is None else f"[1.0, a.v - {mean}]", pars, **grid)

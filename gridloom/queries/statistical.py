@@ -11,7 +11,7 @@ from gridloom.model import Axis, Grid, Mean, Params
 from gridloom.operators import aggregate, display, kriging, likelihood, simulate, variogram
 from gridloom.plans import linalg
 from gridloom.queries import solve
-from gridloom.queries.grids import GAU, MIXED, T1, T2, T3, T5, t1, t2, t3, t4, t5
+from gridloom.queries.grids import GAU, MIXED, T1, T2, T3, T4, T5, t1, t2, t3, t4, t5
 from gridloom.queries.relational import query, six
 
 _ALL = f"""{T3}, ob as (select *, i + 50 * (j - 1) k from t3), pr as (select least(a.k, b.k) lo, greatest(a.k, b.k) hi, abs(a.v - b.v) dabs, abs(a.i - b.i) di, abs(a.j - b.j) dj, sqrt(pow(abs(a.i - b.i), 2) + pow(2.0 * abs(a.j - b.j), 2)) d
@@ -104,7 +104,8 @@ def _(spark, d):
     return variogram.semivariogram(_pairs(spark, d))[0].withColumn("stat", F.round("stat", 4))
 
 
-@query("pl3_ribbon")
+@query("pl3_ribbon", f"""with {_ALL}, ds as (select unnest(range(0, 100)) * (select max(d) from pr) / 99 d), en as (select d, 1.0 + 4.0 * (1 - exp(-pow(d / 6.0, 2))) a, 1.0 + 4.0 * (1 - exp(-pow(d / 5.0, 2))) b, 1.0 + 4.0 * (1 - exp(-pow(d / sqrt(2) / 6.0, 2)) * exp(-pow(d / sqrt(2) / 5.0, 2))) c from ds)
+ select round(d, 6) + 0.0 d, round(least(a, b, c) / 2, 6) + 0.0 low, round(greatest(a, b, c) / 2, 6) + 0.0 high from en""")
 def _(spark, d):
     return variogram.semivariogram(_pairs(spark, d), GAU)[1]
 
@@ -160,7 +161,11 @@ def _(spark, d):
 # -- kernels
 
 
-@query("kn_mat_any")
+# a Bessel function by the trapezoid rule
+_BESSEL = "list_sum(list_transform(range(0, 1200), lambda k: case when k = 0 then 0.5 else 1 end * exp(-a * cosh(k / 100.0)) * cosh(1.7 * k / 100.0))) / 100"
+
+
+@query("kn_mat_any", f"select cast(n as int) lag, round(case when n = 0 then 1 else pow(2, 1 - 1.7) / gamma(1.7) * pow(a, 1.7) * {_BESSEL} end, 6) + 0.0 c from (select n, 2 * sqrt(1.7) * n / 4.0 a from (select unnest(range(0, 30)) n))")
 def _(spark, d):
     """A Matern kernel of any shape, by numerical integration."""
     return spark.createDataFrame([(k, float(c)) for k, c in enumerate(kernels.first_row(Axis("mat", 4.0, 1.7), 30, 1.0))], "lag int, c double")
@@ -328,9 +333,9 @@ def _(spark, d):
     return kriging.krige(spark, t2(spark, d), GAU, variance=True)
 
 
-@query("es3_layers")
+@query("es3_layers", solve.layers(T4, "t4", 3, dim=(50, 9), res=(1.0, 1.0)))
 def _(spark, d):
-    return kriging.krige(spark, t4(spark, d), GAU)
+    return kriging.krige(spark, t4(spark, d), GAU).select("i", "j", F.posexplode("p").alias("lyr", "p")).withColumn("lyr", F.col("lyr") + 1)
 
 
 @query("ds1_down_scale", solve.kriging(T2, "t2", False, True, **_T2))

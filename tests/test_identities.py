@@ -380,7 +380,7 @@ def test_layers_match_single_grids(spark, holes):
 
 def test_too_many_listed_cells_are_refused(spark, holes):
     with pytest.raises(ValueError, match="bound"):
-        kriging.krige(spark, grid_of(spark, holes), P, n_max=3)
+        kriging.krige(spark, grid_of(spark, holes), P, variance=True, n_max=3)
 
 
 def test_gls_by_solve(spark, holes):
@@ -500,3 +500,36 @@ def test_stream_snap(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(f"snapped_{mode}").count() == n
+
+
+def test_trim_in_batches(spark):
+    rng = np.random.default_rng(4)
+    for k in range(4):
+        m = np.where(rng.random((12, 15)) < 0.04 * (k + 1), np.nan, 1.0)
+        m[5:8, 6:10] = 1.0
+        found = [index.trim(spark, grid_of(spark, m), batch=b) for b in (128, 3, 1)]
+        assert found[0] == found[1] == found[2]
+        (a, b), (c, d) = found[0]["i"], found[0]["j"]
+        assert not np.isnan(m[a - 1 : b, c - 1 : d]).any()
+
+
+def test_listed_cells_over_the_bound_are_solved_distributed(spark):
+
+
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((9, 11)) < 0.5, np.nan, rng.standard_normal((9, 11)))
+    g, p = grid_of(spark, m), Params(Axis("gau", 2.0), Axis("exp", 3.0), 2.0, 0.4)
+    for mean in (Mean.constant(), Mean.known(0.5)):
+        a = {(r.i, r.j): r.p for r in kriging.krige(spark, g, p, mean, detrend=True).collect()}
+        b = {(r.i, r.j): r.p for r in kriging.krige(spark, g, p, mean, detrend=True, n_max=5).collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+    with pytest.raises(ValueError, match="over the bound"):
+        kriging.krige(spark, g, p, variance=True, n_max=5)
+
+
+def test_folds_do_not_depend_on_their_ranges(spark):
+
+
+    g = grid_of(spark, np.arange(200.0).reshape(10, 20))
+    one, many = (sorted((r.rep, r.i, r.j, r.fold) for r in simulate.folds(g, 5, 3, 1, bucket_rows=n).collect()) for n in (50_000, 20))
+    assert one == many and sorted({f for *_, f in one}) == [1, 2, 3, 4, 5]
