@@ -63,8 +63,9 @@ def _clear_at_exit() -> None:
 
 
 def parts(df: DataFrame, mb: float = 8.0) -> int:
-    """Groups to deal df's rows into: its planned size over mb, but no fewer than the shuffle partitions."""
+    """Groups to deal df's rows into: its planned size over mb, but no fewer than the shuffle partitions; those where the size is not known."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = 0 if size > 1 << 56 else size
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 20, int(size / (mb * 1e6))))
 

@@ -9,6 +9,7 @@ import pytest
 from conftest import SF
 
 from gridloom.llm import transcripts as t
+from gridloom.llm.common import stored
 
 
 def best_by_enumeration(lines):
@@ -56,9 +57,9 @@ def test_renderings_are_those_of_whole_conversations(spark):
     chats = {c: [r.choice(pool) for _ in range(n)] for c, n in ((1, 300), (2, 9), (None, 40), (4, 1), (5, 17))} | {6: ["<|im_end|>"] * 4, 7: [None], 8: ["<|end|>"], 9: ["hi", "<|end|>"]}
     rows = [(c, k, text, 7) for c, texts in chats.items() for k, text in enumerate(texts)]
     r.shuffle(rows)
-    raw = spark.createDataFrame(rows, "conv_id long, turn long, text string, block int")
+    raw = stored(spark.createDataFrame(rows, "conv_id long, turn long, text string, block int"), "raw")
     want = {c: rendered_whole(texts) for c, texts in chats.items()}
-    for sizes in ({}, {"block": 64}, {"block": 3, "mb": 0.0005}, {"block": 1, "mb": 0.0002}, {"block": 7, "mb": 0.001}):
+    for sizes in ({}, {"block": 64, "mb": 0.001}, {"block": 3, "mb": 0.0003}, {"block": 1}):
         got = joined(spark, raw, **sizes)
         assert {c: g[:2] for c, g in got.items()} == want
         assert all(g[2] == sum(not t._END.match(x) for text in chats[c] for x in (text or "").split("\n")) and g[3] == len(g[0]) for c, g in got.items())
@@ -67,7 +68,7 @@ def test_renderings_are_those_of_whole_conversations(spark):
 
 def test_repeated_and_null_positions(spark):
     rows = [(1, None, "b", 1)] * 3 + [(1, 2, "User: hello?\nmore", 1)] + [(1, 2, "<|im_start|>assistant\nfine", 1)] * 2 + [(None, None, None, 1)]
-    raw = spark.createDataFrame(rows, "conv_id long, turn long, text string, part int")
+    raw = stored(spark.createDataFrame(rows, "conv_id long, turn long, text string, part int"), "raw")
     want = {1: rendered_whole(["b"] * 3 + ["<|im_start|>assistant\nfine"] * 2 + ["User: hello?\nmore"]), None: rendered_whole([None])}
     for mb in (16.0, 1e-4):
         assert {c: g[:2] for c, g in joined(spark, raw, mb=mb).items()} == want
