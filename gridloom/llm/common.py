@@ -75,12 +75,8 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 
 
-def group_of(column: str, n: int):
-    """The group of a long, as `group_of_ids` finds it."""
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-
 def group_of_ids(ids: np.ndarray, n: int) -> np.ndarray:
+    """pmod(xxhash64(id), n) of longs, as Spark finds it."""
     raw = ids.astype("<i8").tobytes()
     h = np.fromiter((xxhash.xxh64_intdigest(raw[i : i + 8], 42) for i in range(0, len(raw), 8)), np.uint64, len(ids))
     return (h.view(np.int64) % n).astype(np.int64)

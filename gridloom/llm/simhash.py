@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import lean, meet, stored
 from gridloom.llm.components import components
-from gridloom.llm.words import mixed
 
 BITS = 64
-#: Rows of one comparison tile in numpy; lanes of a wide fingerprint.
-TILE, WIDE = 1024, 4
+#: Rows of one comparison tile in numpy.
+TILE = 1024
 #: Buckets of up to so many fingerprints are compared together.
 SMALL = 64
 
@@ -51,54 +50,32 @@ def _grams(text: bytes | None, shingle: int) -> list[bytes]:
     return [b" ".join(t) for t in zip(*(w[i:] for i in range(shingle)))]
 
 
-def _majority(h: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """The bits that more than half of the rows of h (n, lanes) set, as lanes; rows may have weights."""
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits that more than half of the rows of h (n, lanes) set, as lanes."""
     ones = np.zeros(BITS * h.shape[1], np.int64)
     for at in range(0, len(h), 16384):
         part = np.ascontiguousarray(h[at : at + 16384], "<u8")
-        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64) if weight is None else weight[at : at + 16384] @ bits
-    return np.packbits(2 * ones > (len(h) if weight is None else weight.sum()), bitorder="little").view("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, cap: float | None = None) -> int:
-    """The fingerprint of UTF-8 text; bytes.lower() changes A-Z only.
-
-    ``cap``: a shingle counts for at most that share of all (but once at least), so that no table's rulings and no
-    language's commonest words decide the bits alone.
-    """
-    grams = _grams(text, shingle)
-    if not grams:
-        return 0
-    digest, weight = xxhash.xxh64_intdigest, None
-    h = np.fromiter((digest(g, 42) for g in grams), "<u8", len(grams))
-    if cap is not None:
-        h, weight = np.unique(h, return_counts=True)
-        weight = np.minimum(weight, max(1, int(cap * len(grams))))
-    return int(_majority(h[:, None], weight)[0])
-
-
-def wide(text: bytes | None, shingle: int) -> bytes:
-    """A fingerprint of WIDE lanes, each from another mixing of the shingles' hashes."""
-    grams = _grams(text, shingle)
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams))
-    return (_majority(np.stack([mixed(h + np.uint64(k)) for k in range(1, WIDE + 1)], 1)) if grams else np.zeros(WIDE, "<u8")).tobytes()
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The fingerprint of UTF-8 text; bytes.lower() changes A-Z only."""
+    grams, digest = _grams(text, shingle), xxhash.xxh64_intdigest
+    return int(majority(np.fromiter((digest(g, 42) for g in grams), "<u8", len(grams))[:, None])[0]) if grams else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, check: int = 0, cap: float | None = None) -> DataFrame:
-    """(doc_id, fp, wide) of every row: fp the fingerprint's bits as a long, wide that of `check` word shingles, if asked for."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row: fp the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
-                texts = b.column(1).to_pylist()
-                fp = np.array([fingerprint(t, shingle, cap) for t in texts], np.uint64).view(np.int64)
-                more = pa.array([wide(t, check) if check else None for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), more], ["doc_id", "fp", "wide"])
+                fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long, wide binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -108,8 +85,8 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def forest(nodes: np.ndarray, fps: np.ndarray, wides: np.ndarray | None, radius: int, far: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct nodes, by tiled exclusive-or of their fingerprints."""
+def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct fingerprints, by tiled exclusive-or."""
     ones = np.bitwise_count(fps)
     order = np.argsort(ones, kind="stable")
     x, ones = fps[order], ones[order].astype(np.int64)
@@ -122,33 +99,25 @@ def forest(nodes: np.ndarray, fps: np.ndarray, wides: np.ndarray | None, radius:
             i, j = np.nonzero(np.bitwise_count(one[:, None] ^ x[b : b + TILE][None, :]) <= radius)
             i, j = i + a, j + b
             i, j = i[i < j], j[i < j]
-            if wides is not None and len(i):
-                close = np.concatenate([np.bitwise_count(wides[order[i[k : k + 65536]]] ^ wides[order[j[k : k + 65536]]]).sum(1, dtype=np.int64) <= far for k in range(0, len(i), 65536)])
-                i, j = i[close], j[close]
             for u, v in zip(i.tolist(), j.tolist()):
                 p, q = _find(parent, u), _find(parent, v)
                 if p != q:
                     parent[p] = q
                     out.append((u, v))
-    x = nodes[order].tolist()
+    x = x.view(np.int64).tolist()
     return [(x[i], x[j]) for i, j in out]
 
 
-def _wides(column: pa.ChunkedArray | pa.Array) -> np.ndarray | None:
-    rows = column.to_pylist()
-    return None if not rows or rows[0] is None else np.frombuffer(b"".join(rows), "<u8").reshape(len(rows), -1)
-
-
-def _in_buckets(t: pa.Table, radius: int, far: int) -> Iterator[pa.RecordBatch]:
-    """Links within each bucket of a table (key, node, fp, wide) sorted by key.
+def _in_buckets(t: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
+    """Links within each bucket of a table (key, fp) sorted by key.
 
     Buckets of up to SMALL rows are compared all at once, rows with those that follow at distance 1, 2, ... as long as
     their population counts allow; larger ones each in tiles.
     """
     t = t.combine_chunks()
-    k, node, fp, wides = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy().view(np.uint64), _wides(t.column(3))
+    k, fp = t.column(0).to_numpy(), t.column(1).to_numpy().view(np.uint64)
     order = np.lexsort((np.bitwise_count(fp), k))
-    k, node, fp, wides = k[order], node[order], fp[order], None if wides is None else wides[order]
+    k, fp = k[order], fp[order]
     cut = np.flatnonzero(np.diff(k)) + 1
     start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
     size = end - start
@@ -161,11 +130,7 @@ def _in_buckets(t: pa.Table, radius: int, far: int) -> Iterator[pa.RecordBatch]:
         if not same.any():
             break
         i = np.flatnonzero(same & (np.bitwise_count(x[d:] ^ x[:-d]) <= radius))
-        a, b = few[i], few[i + d]
-        if wides is not None and len(a):
-            close = np.bitwise_count(wides[a] ^ wides[b]).sum(1, dtype=np.int64) <= far
-            a, b = a[close], b[close]
-        pairs.append(np.stack((node[a], node[b]), 1))
+        pairs.append(np.stack((x[i], x[i + d]), 1).view(np.int64))
     if pairs:
         parent: dict[int, int] = {}
         for u, v in np.unique(np.concatenate(pairs), axis=0).tolist():
@@ -174,7 +139,7 @@ def _in_buckets(t: pa.Table, radius: int, far: int) -> Iterator[pa.RecordBatch]:
                 parent[p] = q
                 out.append((u, v))
     for a, b in zip(start[size > SMALL].tolist(), end[size > SMALL].tolist()):
-        out += forest(node[a:b], fp[a:b], None if wides is None else wides[a:b], radius, far)
+        out += forest(fp[a:b], radius)
     yield _edges(out)
 
 
@@ -185,14 +150,14 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def links(nodes: DataFrame, radius: int = 2, far: int = 0, tile_rows: int = 8192) -> DataFrame:
-    """Links (u, v) whose transitive closure is that of all pairs of distinct nodes (node, fp, wide) within the radii."""
+def links(nodes: DataFrame, radius: int = 2, tile_rows: int = 8192) -> DataFrame:
+    """Links (u, v) whose transitive closure is that of all pairs of the distinct fingerprints fp within the radius."""
     bands = radius + 2
     edges = [BITS * i // bands for i in range(bands + 1)]
     band = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
     keys = [F.xxhash64(F.lit(k), band[i], band[j]) for k, (i, j) in enumerate(combinations(range(bands), 2))]
     sizes = nodes.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    keyed = nodes.select("node", "fp", "wide", F.explode(F.array(*keys)).alias("key")).join(sizes.where("n > 1"), "key")
+    keyed = nodes.select("fp", F.explode(F.array(*keys)).alias("key")).join(sizes.where("n > 1"), "key")
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come whole and one after the other; one that a batch breaks off waits for the next."""
@@ -204,22 +169,20 @@ def links(nodes: DataFrame, radius: int = 2, far: int = 0, tile_rows: int = 8192
             end = int(np.searchsorted(k, k[-1], side="left")) if len(k) else 0
             rest = t.slice(end).combine_chunks()
             if end:
-                yield from _in_buckets(t.slice(0, end), radius, far)
+                yield from _in_buckets(t.slice(0, end), radius)
         if rest is not None and rest.num_rows:
-            yield from _in_buckets(rest, radius, far)
+            yield from _in_buckets(rest, radius)
 
     def pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        t = table.take(pa.array(first))
-        return pa.Table.from_batches([_edges(forest(node, t.column("fp").to_numpy().view(np.uint64), _wides(t.column("wide")), radius, far))])
+        return pa.Table.from_batches([_edges(forest(np.unique(table.column("fp").to_numpy().view(np.uint64)), radius))])
 
-    common = keyed.where(F.col("n") <= tile_rows).select("key", "node", "fp", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(lean(small), "u long, v long")
+    common = keyed.where(F.col("n") <= tile_rows).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(lean(small), "u long, v long")
     # buckets over tile_rows: tiles by population count and hash, sent to every tile pair that they are in
     ones, m = F.bit_count("fp"), F.ceil(F.col("n") / tile_rows).cast("int")
-    tile = keyed.where(F.col("n") > tile_rows).select("key", "node", "fp", "wide", ones.alias("c"), m.alias("m")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    tile = keyed.where(F.col("n") > tile_rows).select("key", "fp", ones.alias("c"), m.alias("m")).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     other = tile.withColumn("c2", F.explode(F.sequence(F.col("c") - radius, F.col("c") + radius))).withColumn("s2", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     own, its = F.struct("c", "s"), F.struct(F.col("c2").alias("c"), F.col("s2").alias("s"))
-    hot = other.select("key", "node", "fp", "wide", F.least(own, its).alias("one"), F.greatest(own, its).alias("two")).groupBy("key", "one", "two").applyInArrow(pair, "u long, v long")
+    hot = other.select("key", "fp", F.least(own, its).alias("one"), F.greatest(own, its).alias("two")).groupBy("key", "one", "two").applyInArrow(pair, "u long, v long")
     return common.unionAll(hot)
 
 
@@ -228,16 +191,12 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, check: int = 0, far: int = 41, cap: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the least doc_id that can be reached.
-
-    ``check``: two documents link only if their wide fingerprints of that many words also differ in at most `far`
-    of 256 bits; 41 is what shingle sets of Jaccard index 0.8 differ in on average, a little rounded up.
-    """
-    fps = stored(fingerprints(docs, shingle, check, cap), "fps").withColumn("node", F.xxhash64("fp", "wide") if check else F.col("fp"))
-    distinct = stored(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
-    root = components(links(distinct.select("node", "fp", "wide"), radius, far))
-    classes = stored(distinct.select("node", "least", "copies").join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the least doc_id that can be reached."""
+    fps = stored(fingerprints(docs, shingle), "fps")
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    root = components(links(distinct.select("fp"), radius))
+    classes = stored(distinct.join(root.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
     least = stored(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "least")
-    named = stored(meet(classes.select("node", "root", "copies"), least, "root", "nodes").select("node", "component_id", "copies"), "named")
-    return meet(fps.select("doc_id", "fp", "node"), named, "node", "copies").select("doc_id", "fp", "component_id")
+    named = stored(meet(classes.select("fp", "root", "copies"), least, "root", "nodes").select("fp", "component_id", "copies"), "named")
+    return meet(fps.select("doc_id", "fp"), named, "fp", "copies").select("doc_id", "fp", "component_id")

@@ -36,7 +36,7 @@ def test_fingerprint_by_hand(spark):
 
 
 def _nodes(spark, x):
-    return spark.createDataFrame([(int(v), int(v), None) for v in x.view(np.int64)], "node long, fp long, wide binary")
+    return spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
 
 
 def test_links_by_bands_and_by_tiles(spark):
@@ -53,7 +53,7 @@ def test_links_by_bands_and_by_tiles(spark):
         root = {v: got.get(v, v) for v in name}
         assert len(set(root.values())) == sizes
         assert all(len({name[v] for v in root if root[v] == r}) == 1 for r in set(root.values()))
-    pairs = forest(x.view(np.int64), x, None, 2, 0)
+    pairs = forest(x, 2)
     assert len(pairs) == len(x) - sizes  # a spanning forest
 
 
@@ -64,6 +64,14 @@ def test_components_of_a_long_chain(spark):
     assert components(e.where("u < 0")).count() == 0
 
 
+def test_hubs_meet_in_no_task(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(k, 7) for k in range(100, 180)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (40, 2))] + [(179, 205), (5, 7)]
+    e = spark.createDataFrame(pairs, "u long, v long")
+    a, b = (sorted((r.u, r.root) for r in components(e, hub).collect()) for hub in (100_000, 4))
+    assert a == b and dict(a)[7] == 5
+
+
 def test_against_brute_force(spark, docs):
     rows = sorted((r.doc_id, fingerprint((r.text or "").encode())) for r in docs.collect())
     want = groups(np.array([f for _, f in rows], np.uint64), 2)
@@ -80,14 +88,3 @@ def test_edges(spark, edge, nothing):
     assert all(len(c) == 1 for c in by.values())
     assert by[0] == {1}  # no words: linked like any other, the null id aside
     assert near_duplicates(nothing).count() == 0
-
-
-def test_wide_check_separates(spark):
-    from llm.conftest import prose
-
-    base = prose(11, 200).split()
-    near = " ".join(base[:100] + ["changed"] + base[101:])
-    shuffled = " ".join(sorted(base))  # the same words, other shingles
-    df = spark.createDataFrame([(1, " ".join(base)), (2, near), (3, shuffled)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_duplicates(df, shingle=1, radius=4, check=5).collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
