@@ -38,6 +38,8 @@ from gridloom.llm.words import window_hashes, word_hashes, words
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 #: Anchors that a task gathers before it sends them.
 FLUSH = 400_000
+#: Bytes of text whose words a task hashes at a time, or one document.
+SLICE = 1_000_000
 _BLOBS = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("blob", pa.binary())])
 
 
@@ -131,7 +133,7 @@ def _anchors(width: int, period: int, n_buckets: int, n_groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, base, n = [[] for _ in range(5)], 0, 0
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        for batch in (b.slice(at, 250) for b in batches for at in range(0, b.num_rows, 250)):
             values = batch.column(1).to_pylist()
             h, starts = word_hashes(values)
             size = np.diff(starts)
@@ -184,6 +186,20 @@ def _texts(table: pa.Table) -> list[bytes | None]:
     return table.column("text").combine_chunks().cast(pa.binary()).to_pylist()
 
 
+def _around(texts: list[bytes | None], doc: np.ndarray, pos: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, position and both hashes of the windows of texts that hold one of the anchors at (doc, pos), in order."""
+    h, starts = word_hashes(texts)
+    size = np.diff(starts)
+    low, high = np.maximum(pos - (width - span), 0), np.minimum(pos, size[doc] - width) + 1
+    edge = np.zeros(len(h) + 1, np.int32)
+    np.add.at(edge, starts[doc] + low, high > low)
+    np.add.at(edge, starts[doc] + high, -1 * (high > low))
+    at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+    one, two = window_hashes(h, width)[at], (window_hashes(h, width, 1)[at] >> np.uint64(32)).astype("<u4")
+    doc = np.repeat(np.arange(len(texts)), size)[at]
+    return doc, at - starts[doc], one, two
+
+
 def _windows(width: int, span: int, n_buckets: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Table:
         out: list[tuple[int, int | None, bytes]] = []
@@ -196,23 +212,27 @@ def _windows(width: int, span: int, n_buckets: int):
             near = near[np.lexsort((th[near], ids[near]))]  # from here on documents are in their order
             place = np.zeros(len(values), np.int64)
             place[near] = np.arange(len(near))
-            h, starts = word_hashes([values[r] for r in near])
-            size = np.diff(starts)
-            d = place[row]
-            low, high = np.maximum(pos - (width - span), 0), np.minimum(pos, size[d] - width) + 1
-            edge = np.zeros(len(h) + 1, np.int64)
-            np.add.at(edge, starts[d] + low, high > low)
-            np.add.at(edge, starts[d] + high, -1 * (high > low))
-            at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-            one, two = window_hashes(h, width)[at], (window_hashes(h, width, 1)[at] >> np.uint64(32)).astype("<u4")
+            none = np.zeros(0, np.int64)
+            found, at = [(none, none, np.zeros(0, np.uint64), np.zeros(0, "<u4"))], 0
+            order = np.argsort(place[row], kind="stable")
+            d, pos = place[row][order], pos[order]
+            while at < len(near):  # few documents' words are hashed at a time
+                end, held = at, 0
+                while end < len(near) and (end == at or held + len(values[near[end]] or b"") <= SLICE):
+                    held += len(values[near[end]] or b"")
+                    end += 1
+                a, b = np.searchsorted(d, (at, end))
+                part = _around([values[r] for r in near[at:end]], d[a:b] - at, pos[a:b], width, span)
+                found.append((part[0] + at, *part[1:]))
+                at = end
+            doc, pos, one, two = map(np.concatenate, zip(*found))
+            del found, values
             order, new, _ = _firsts(two, one)  # a stable sort: the first of a run is the earliest
-            doc = np.repeat(np.arange(len(near)), size)[at]
-            pos = at - starts[doc]
             once, later = np.sort(order[new]), np.sort(order[~new])
             out += _bucketed(ids[near], th[near], doc[once], pos[once], one[once], n_buckets, (one[once] // np.uint64(n_buckets) >> np.uint64(32)).astype("<u4"), two[once])
             if len(later):
                 out.append((int(one[later[0]] % np.uint64(n_buckets)), key[0].as_py(), _places(ids[near], th[near], doc[later], pos[later])))
-            del h, at, one, two, order, new, doc, pos, values
+            del one, two, order, new, doc, pos
             trim()
         return pa.Table.from_batches([_rows(out)])
 

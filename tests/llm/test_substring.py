@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
 from gridloom.llm import substring
 from gridloom.llm.substring import COVERS, remove_repeats
 from gridloom.llm.words import window_hashes, word_hashes
@@ -45,6 +48,27 @@ def test_small_flushes_change_nothing(spark, docs, monkeypatch):
     assert [got[d] for d, _ in rows] == [x[1] for x in brute(rows)]
 
 
+def test_a_task_hashes_a_slice_of_its_words_at_a_time(monkeypatch):
+    texts = [" ".join(f"w{(k * 37 + i) % 900}" for i in range(300)) for k in range(40)]
+    docs = pa.table({"doc_id": range(40), "text": texts})
+    ids, th = np.arange(40), substring._texthash([t.encode() for t in texts])
+    doc = np.repeat(np.arange(40), 6)
+    marks = pa.table({"blob": [substring._places(ids, th, doc, np.tile([0, 1, 3, 150, 151, 285], 40))]})
+    held = []
+
+    def hashes(values):
+        held.append(sum(map(len, values)))
+        return word_hashes(values)
+
+    monkeypatch.setattr(substring, "word_hashes", hashes)
+    run = substring._windows(20, 8, 4)
+    whole = run((pa.scalar(0),), docs, marks).to_pylist()
+    assert len(held) == 1
+    monkeypatch.setattr(substring, "SLICE", 5000)
+    assert run((pa.scalar(0),), docs, marks).to_pylist() == whole and len(whole) > 1
+    assert max(held[1:]) <= 5000 and sum(held[1:]) == held[0]
+
+
 def test_edges(spark, edge, edge_rows):
     out = remove_repeats(edge, joined=True)
     assert out.columns[:10] == edge.columns
