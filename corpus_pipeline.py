@@ -1,10 +1,11 @@
 """A pipeline over the documents table; each stage calls one operator of gridloom.llm on all that the stage before kept.
 
 1. language: documents without a letter, or of no language that the network is at all sure of, go;
-2. near_duplicates: SimHash fingerprints of 256 bits over sets of five-word shingles, compared by exclusive-or and bit
-   counts within buckets; of pairs within the radius, those link whose sets have a Jaccard index of 0.8 or more. Of
-   each connected group one row stays, that of the least id, null last, and of the least text hash within an id; rows
-   of null or repeated ids go only if their own text has a group with another row that stays;
+2. near_duplicates: texts link if their sets of five-word shingles have a Jaccard index of 0.8 or more. Candidates are
+   what the SimHash operator links (64 bits, radius 3, exclusive-or and bit counts in tiles) and, for pairs beyond that
+   radius, sets that share a key of least hashes; all are decided by the sets. Of each connected group one row stays,
+   that of the least id, null last, and of the least text hash within an id; rows of null or repeated ids go only if
+   their own text has a group with another row that stays;
 3. substrings: words in 20-word windows that also start earlier are cut out, and documents left empty by it go;
 4. mixing: documents are sampled by probabilities raked to tempered source, language and topic shares;
 5. packing: the pieces of all documents with their places in sequences of 2048 tokens.

@@ -3,13 +3,16 @@
 Two texts link if their sets of `WIDTH`-word shingles (A-Z lower-cased) have a Jaccard index of `LEAST` or more. A
 text of fewer words is one shingle; texts without words have the empty set and link with each other.
 
-Candidates: rows of equal sets are combined. Each set gets BANDS keys of ROWS least hashes; whether two sets share a
-key depends on their Jaccard index J alone, not on where texts were edited, and fails with probability
-(1 - J^ROWS)^BANDS: 2.6e-5 at J = 0.8, 6e-10 at 0.9. Only sets that share a key are made again, once, from their texts.
-
-Decision: by the sets themselves, in Spark. Pairs to decide are found in two steps, so that a large group of near
-copies does not make all its pairs: first each set with the nearest of a few before it in its bucket, by a 256-bit
-sketch; then, of buckets whose sets are not yet connected, all pairs in different components. The sketch
+Candidates: rows of equal sets are combined. Each set gets a SimHash fingerprint of 64 bits, and the operator of
+`simhash` links those within RADIUS bits, by exclusive-or and bit counts in tiles. That radius reaches the closest
+pairs only (at J = 0.8 the mean distance is 9.7 bits), so for the rest each set also gets BANDS keys of ROWS least
+hashes; whether two sets share a key depends on their Jaccard index J alone, not on where texts were edited, and fails
+with probability (1 - J^ROWS)^BANDS: 2.6e-5 at J = 0.8, 6e-10 at 0.9. Only sets that the fingerprints link or that share
+a key are made again, once, from their texts.
+
+Decision: by the sets themselves, in Spark, for links of fingerprints too. Pairs to decide are found in two steps, so
+that a large group of near copies does not make all its pairs: first those that fingerprints link, and each set with the
+nearest of a few before it in its bucket, by a 256-bit sketch; then, of buckets whose sets are not yet connected, all pairs in different components. The sketch
 only leaves out pairs more than FAR bits apart (at J = 0.8 the mean is 38.8, the standard deviation 5.7), as do sizes
 that make LEAST impossible. Sets of larger buckets are decided within a task, in pairs of tiles, which return the
 links of a spanning forest only; their number of pairs is never that of rows.
@@ -27,11 +30,13 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import lean, meet, stored
 from gridloom.llm.components import components
-from gridloom.llm.simhash import majority
+from gridloom.llm.simhash import links, majority
 from gridloom.llm.words import mixed, window_hashes, word_hashes
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 4
+#: Bits in which fingerprints that link may differ.
+RADIUS = 3
 #: Lanes of 64 bits of a sketch, and bits beyond which it leaves a pair out.
 WIDE, FAR = 4, 80
 #: Rows before it, and first rows of its bucket, that a row meets in the first step.
@@ -77,9 +82,10 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, sets, starts in _sets(batches, 2):
         node = np.array([xxhash.xxh64_intdigest(sets[i:j].tobytes()) for i, j in zip(starts, starts[1:])], np.uint64).view(np.int64)
+        print_ = np.concatenate([majority(sets[i:j, None]) if j > i else np.zeros(1, np.uint64) for i, j in zip(starts, starts[1:])]).view(np.int64)
         keys = band_keys(sets, starts).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), lists], ["doc_id", "text_key", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(print_), lists], ["doc_id", "text_key", "node", "fp", "keys"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,19 +220,32 @@ def decided(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.distinct().join(a, "u").join(b, "v").withColumn("both", both).where(F.col("both") + 1e-9 >= least * (F.size("u_set") + F.size("v_set") - F.col("both"))).select("u", "v")
 
 
+def _linked(prints: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the sets (node, fp) that the SimHash operator links: linked fingerprints' first sets, and each set with the first of its fingerprint."""
+    firsts = stored(prints.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("sets")), "firsts")
+    at = {k: firsts.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_first")) for k in ("u", "v")}
+    apart = links(firsts.select("fp"), RADIUS).join(at["u"], "u").join(at["v"], "v").select(F.greatest("u_first", "v_first").alias("u"), F.least("u_first", "v_first").alias("v"))
+    same = meet(prints.select("node", "fp"), firsts.where("sets > 1"), "fp", "sets").where(F.col("node") != F.col("first"))
+    return apart.unionAll(same.select(F.col("node").alias("u"), F.col("first").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, tile_rows: int = 2048, tile_mb: float = 16.0) -> DataFrame:
     """(doc_id, text_key, root) of every row; rows of one root are connected by links."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
-    rows = stored(text.mapInArrow(lean(_keyed), "doc_id long, text_key long, node long, keys array<long>"), "band_keys")
+    rows = stored(text.mapInArrow(lean(_keyed), "doc_id long, text_key long, node long, fp long, keys array<long>"), "band_keys")
     nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"), F.min("text_key").alias("text_key"))
     keys = stored(nodes.select("node", "text_key", F.explode("keys").alias("key")), "buckets")
     shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key")
     shared = stored(shared, "shared")
-    wanted = shared.select("node", "text_key").distinct()
+    prints = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("text_key").alias("text_key")), "prints")
+    linked = stored(_linked(prints), "linked")
+    ends = linked.select(F.col("u").alias("node")).unionAll(linked.select(F.col("v").alias("node"))).distinct()
+    wanted = shared.select("node", "text_key").unionAll(prints.join(ends, "node").select("node", "text_key")).distinct()
     whole = text.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key").select("node", "text")
     sets = stored(whole.mapInArrow(lean(_whole), "node long, n long, wide binary, shingles array<long>"), "sets")
     members = stored(shared.select("key", "node").join(sets.select("node", "n", "wide"), "node"), "members")
-    first = stored(decided(_by_bucket(members.withColumn("root", F.col("node")), _nearest, least), sets, least), "links")
+    nearest = _by_bucket(members.withColumn("root", F.col("node")), _nearest, least)
+    first = stored(decided(linked.unionAll(nearest), sets, least), "links")
     roots = components(first).withColumnRenamed("u", "node")
     at = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = stored(_open_links(at, sets, least, tile_rows, tile_mb), "links")

@@ -101,6 +101,21 @@ def test_components_against_brute_force(spark):
         assert [len({(root[i], got[i]) for i in got}), len(set(root))] == [len(set(got.values()))] * 2
 
 
+def test_fingerprints_link_without_least_hashes(spark, monkeypatch):
+    """The SimHash operator finds near copies by itself, where buckets of least hashes give no pair."""
+    monkeypatch.setattr(jaccard, "_by_bucket", lambda *_: spark.createDataFrame([], "u long, v long"))
+    r = random.Random(6)
+    base = [text(r, 400) for _ in range(12)]
+    rows = rows_of([(2 * k + s, " ".join(w[s:]), "en", "a") for k, w in enumerate(base) for s in (0, 1)])
+    sets = {row[0]: shingle_set(row[1]) for row in rows}
+    assert all(index(sets[2 * k], sets[2 * k + 1]) > 0.99 for k in range(12))
+    found, at = jaccard.shingles([row[1].encode() for row in rows])
+    print_ = [int(jaccard.majority(found[i:j, None])[0]) for i, j in zip(at, at[1:])]
+    near = [(print_[2 * k] ^ print_[2 * k + 1]).bit_count() <= jaccard.RADIUS for k in range(12)]
+    assert sum(near) > 8
+    assert {x.doc_id for x in kept(spark, rows)} == {row[0] for row in rows} - {2 * k + 1 for k in range(12) if near[k]}
+
+
 def test_least_hashes_agree_as_often_as_sets():
     rng, hit = np.random.default_rng(0), 0
     for _ in range(300):
