@@ -22,6 +22,8 @@ from gridloom.llm.common import held  # noqa: E402
 #: White space that does more than separate two words; texts that have it are cut at fewer places.
 _ODD = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 _ODD_ASCII = [x for x in _ODD if x.isascii()]
+#: Marks that a tokenizer that drops white space parts from a word before them; an apostrophe may stay with letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -52,6 +54,12 @@ class WordEncoder:
         self.word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n" if spaced else " "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if not spaced:
             self.word.normalizer = normalizers.Lowercase()
+            # and for ASCII letters in lower case, which need no normalizer and no map of bytes; its cache is no use to pieces met once
+            self.ascii = Tokenizer.from_file(path)
+            self.ascii.encode_special_tokens = True
+            self.ascii.normalizer = normalizers.Sequence([])
+            self.ascii.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.ascii.model._resize_cache(0)
         vocab = self.tok.get_vocab()
         self.border = np.zeros(max(vocab.values()) + 1, bool)
         self.border[[i for t, i in vocab.items() if (t[0] == "\u0120" if spaced else t.endswith("</w>"))]] = True
@@ -69,28 +77,45 @@ class WordEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes many pieces as one text, cut again at a bar that no other piece can give."""
-        plain, joint, alone = [], [], []
+        plain, joint, alone, ended = [], [], [], []
         for p in pieces:
             if p.isalpha() and (self.lead or _latin(p)):
                 plain.append(p)
+            elif not self.lead and (word := p.rstrip(_MARKS)).isalpha() and word.isascii():
+                ended.append((p, word, p[len(word) :]))
             else:
                 own = p[1:] if self.lead and p[:1] == "\n" else p
                 (alone if len(own.split()) != 1 or own[0].isspace() or own[-1].isspace() or self.bar in own else joint).append(p)
         for piece, enc in zip(alone, self.tok.encode_batch_fast([p if p[:1] == "\n" and self.lead else self.lead + p for p in alone], add_special_tokens=False)):
             self.memo[piece] = np.array(enc.ids, "<u4").tobytes()
-        self._plain(plain)
+        if not self.lead:
+            # such a tokenizer parts a word from the marks after it, so both are encoded on their own, each once
+            own: dict[str, bytes] = {}
+            self._plain([p for p in {w for _, w, _ in ended} if p not in self.memo], own)
+            self._joint(self.tok, " \x01 ", self.bar_id, [p for p in {m for _, _, m in ended} if p not in self.memo], into=own)
+            for piece, *both in ended:
+                self.memo[piece] = b"".join([own[x] if x in own else self.memo[x] for x in both])
+        self._plain(plain, self.memo)
         if not self.lead:
             self._joint(self.tok, " \x01 ", self.bar_id, joint)
         else:  # "\n" opens every piece; it belongs to those that begin with it
             self._joint(self.tok, "\n ", self.bar_id, [p for p in joint if p[0] != "\n"])
             self._joint(self.tok, "", self.bar_id, [p for p in joint if p[0] == "\n"], own=True)
 
-    def _plain(self, pieces: list[str]) -> None:
+    def _plain(self, pieces: list[str], memo: dict[str, bytes]) -> None:
         """Pieces of letters only: the tokens themselves tell where a word begins, or ends."""
-        memo, at, gap = self.memo, 0, "\n " if self.lead else " "
+        if self.lead:
+            self._words(self.word, pieces, memo)
+        else:
+            self._words(self.ascii, [p for p in pieces if p.isascii()], memo, lower=True)
+            self._words(self.word, [p for p in pieces if not p.isascii()], memo)
+
+    def _words(self, tok: Tokenizer, pieces: list[str], memo: dict[str, bytes], lower: bool = False) -> None:
+        at, gap = 0, "\n " if self.lead else " "
         texts = [gap[1:] + gap.join(pieces[i : i + 512]) for i in range(0, len(pieces), 512)]
+        texts = [t.lower() for t in texts] if lower else texts
         for i in range(0, len(texts), 32):
-            for enc in self.word.encode_batch_fast(texts[i : i + 32], add_special_tokens=False):
+            for enc in tok.encode_batch_fast(texts[i : i + 32], add_special_tokens=False):
                 ids = np.array(enc.ids, "<u4")
                 raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.border[ids])).tolist()
                 starts, ends = (cuts, [*cuts[1:], len(raw)]) if self.lead else ([0, *(c + 4 for c in cuts[:-1])], [c + 4 for c in cuts])
@@ -99,8 +124,8 @@ class WordEncoder:
                 at += len(starts)
         assert at == len(pieces)
 
-    def _joint(self, tok: Tokenizer, bar: str, bar_id: int, pieces: list[str], own: bool = False) -> None:
-        memo, at = self.memo, 0
+    def _joint(self, tok: Tokenizer, bar: str, bar_id: int, pieces: list[str], own: bool = False, into: dict[str, bytes] | None = None) -> None:
+        memo, at = self.memo if into is None else into, 0
         texts = ["".join([bar + p for p in pieces[i : i + 512]]) for i in range(0, len(pieces), 512)]
         for i in range(0, len(texts), 32):
             for enc in tok.encode_batch_fast(texts[i : i + 32], add_special_tokens=False):

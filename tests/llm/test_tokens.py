@@ -42,6 +42,14 @@ def test_encoder_on_any_text(text):
         assert np.frombuffer(own_encoder(path, spaced).encode([text])[0], "<u4").tolist() == plain(path)(text)
 
 
+def test_words_are_learnt_without_the_marks_after_them(monkeypatch):
+    texts = ["Zxqwort, zxqwort. (zxqwort) ZXQWORT... éxqwort, it's it's, a1. x.y, #tag @at! zxqwort\u2019, \u00aa. \u00b2, \u01c5."]
+    e, seen, joint = WordEncoder(WORD, False), [], WordEncoder._joint
+    monkeypatch.setattr(WordEncoder, "_joint", lambda self, tok, bar, bar_id, pieces, *a, **k: seen.extend(pieces) or joint(self, tok, bar, bar_id, pieces, *a, **k))
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [plain(WORD)(t) for t in texts]
+    assert {",", ".", "..."} <= set(seen) and not [p for p in seen if p in ("zxqwort,", "zxqwort.", "zxqwort...")]
+
+
 @lru_cache
 def own_encoder(path, spaced):
     return WordEncoder(path, spaced)
