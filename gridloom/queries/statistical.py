@@ -233,7 +233,7 @@ def _(spark, d):
 def _(spark, d):
     from gridloom.plans.strategy import collect
 
-    low = collect(t3(spark, d)).factor(GAU).l
+    low = collect(t3(spark, d), separable=False).factor(GAU).l  # of listed cells, also where they form a lattice
     a, b = np.tril_indices(len(low))
     return spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "l": low[a, b]}), "a long, b long, l double")
 
